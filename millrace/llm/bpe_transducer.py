@@ -320,11 +320,11 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, into: str = "ids") -> Da
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe") -> DataFrame:
-    """Adds a struct (n_tokens, ids_sha256, decoded_sha256) of each whole text: encoded, then decoded again from the ids alone."""
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", with_ids: bool = False) -> DataFrame:
+    """Adds a struct (n_tokens, ids_sha256, decoded_sha256, and ids if asked for) of each whole text: encoded, then decoded again from the ids alone."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
-    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e, d, names = machines(held.value, pattern)
         sha = lambda x: hashlib.sha256(x).hexdigest()
@@ -332,7 +332,7 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe") -
             rows = []
             for t in texts:
                 ids = e.encode(t)
-                rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(d.whole(ids).encode("utf-8", "surrogatepass"))))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(d.whole(ids).encode("utf-8", "surrogatepass")), *[ids] * with_ids))
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))

@@ -72,3 +72,12 @@ def class_share(labels: DataFrame, column: str) -> float:
     """Share of label 1 among all labels, held within 0.001 and 0.999."""
     r = labels.agg(F.avg(F.col(column).cast("double"))).first()[0]
     return min(0.999, max(0.001, 0.5 if r is None else r))
+
+
+#: Rows of a list of keys up to which it is broadcast; a longer one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """The (staged) keys, marked for broadcast if they are few enough."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_transducer, chat_format, decontaminate, quality_rules, secret_scan, sharding, toxicity, url_filter, zstd_quality
+from . import bpe_transducer, chat_format, decontaminate, jaccard_join, quality_rules, secret_scan, sharding, toxicity, url_filter, zstd_quality
 from .common import bound_batches, held_out, read
 
 # Fixed values: (verdict, host, path).
@@ -45,6 +45,11 @@ def op4_bpe_transducer(spark: SparkSession, d: str) -> DataFrame:
     return bpe_transducer.round_trip(read(spark, d, "documents").select("doc_id", "text"), ranks, pattern).select("doc_id", "bpe.*")
 
 
+def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    bound_batches(spark)
+    return jaccard_join.join(read(spark, d, "documents"), n=4, percent=85)
+
+
 def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
     return url_filter.judge(read(spark, d, "pages").select("page_id", "url"), RULES).select("page_id", "judged.*")
 
@@ -77,7 +82,7 @@ def op10_zstd_quality(spark: SparkSession, d: str) -> DataFrame:
     return classified(zstd_quality.score(docs, zstd_quality.fit(docs, labels)), 3, 1)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_sharding, op4_bpe_transducer, op6_url_filter, op7_toxicity, op8_decontaminate, op9_quality_rules, op10_zstd_quality)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_sharding, op4_bpe_transducer, op5_jaccard_join, op6_url_filter, op7_toxicity, op8_decontaminate, op9_quality_rules, op10_zstd_quality)}
 
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FITS = [f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')" for _, h, p in RULES]

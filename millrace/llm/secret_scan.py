@@ -152,3 +152,16 @@ def joined(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+
+
+def redact(text: Column, spans: Column) -> Column:
+    """The text with each span replaced by [SECRET:kind]; of overlapping ones the first counts, and what sticks out of it goes too."""
+    names = F.array(*map(F.lit, KINDS))
+    zero = F.expr("named_struct('at', 0, 'out', '')")
+
+    def add(acc: Column, s: Column) -> Column:
+        new = s["start"] >= acc["at"]
+        mark = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET:"), F.element_at(names, s["kind"] + 1), F.lit("]"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
