@@ -7,7 +7,7 @@ Columns beside those of documents are passed through. Null texts count as empty;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import bpe_transducer, decontaminate, jaccard_join, secret_scan, zstd_quality
 from millrace.llm.common import bound_batches, bounded, held_out, read, stage
@@ -15,18 +15,21 @@ from millrace.llm.queries import tokenizer
 
 #: Near duplicates: words in a shingle, and the least similarity in percent.
 SHINGLE, PERCENT = 5, 80
-KEY = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def text_key(docs: DataFrame) -> Column:
+    return F.xxhash64(F.coalesce(docs.text, F.lit("")))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id becomes the pair (id, hash), which the operators pass through."""
-    return docs.select(F.struct(F.col("doc_id").alias("id"), KEY.alias("hash")).alias("doc_id"), "text")
+    return docs.select(F.struct(F.col("doc_id").alias("id"), text_key(docs).alias("hash")).alias("doc_id"), "text")
 
 
 def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """docs but for the rows with a pair (id, hash) in drop."""
     d = bounded(stage(drop.select("id", "hash").distinct(), "pipeline-drop"))
-    return docs.join(d, docs.doc_id.eqNullSafe(d.id) & (KEY == d.hash), "left_anti")
+    return docs.join(d, docs.doc_id.eqNullSafe(d.id) & (text_key(docs) == d.hash), "left_anti")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +65,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the secret scan (operator 1) finds is replaced in the text, and n_chars follows."""
     found = secret_scan.scan(keyed(docs)).where(F.size("spans") > 0).select("doc_id.*", F.col("spans").alias("_spans")).dropDuplicates(["id", "hash"])
     f = bounded(stage(found.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_spans"), "pipeline-spans"))
-    joined = docs.join(f, docs.doc_id.eqNullSafe(f._id) & (KEY == f._hash), "left")
+    joined = docs.join(f, docs.doc_id.eqNullSafe(f._id) & (text_key(docs) == f._hash), "left")
     text = F.when(F.col("_spans").isNull(), docs.text).otherwise(secret_scan.redact(docs.text, F.col("_spans")))
     out = joined.withColumn("_new", text)
     changed = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new"))} if "n_chars" in docs.columns else {})
