@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -18,7 +20,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more."""
+    """Before Python operators: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more, and this package on the Python workers' path (on a cluster, ship it with --py-files)."""
+    env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
     for k, v in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         with contextlib.suppress(Exception):
             now = spark.conf.get(k)

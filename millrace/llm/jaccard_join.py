@@ -1,8 +1,8 @@
 """N-gram Jaccard join (operator 5): a grouped prefix join, exact, ending in connected components.
 
 A document's set is its distinct word shingles, as 64-bit hashes; without words it is empty and links with nothing. Documents with equal sets are one set (its
-fingerprint). Tokens are put in one global order: those that summaries over all rows call frequent come last, else by hash (any order gives the same links; this one
-keeps shared passages out of prefixes). Two sets with Jaccard >= percent / 100 share a token of their prefixes. Sets with identical prefixes and size are one
+fingerprint). Tokens are put in one global order, the rarest first: they are counted over all sets, in slices of the hash range that travel as packed arrays; those that
+summaries over all rows call frequent come last, uncounted, so that no slice has a token of very many sets. Two sets with Jaccard >= percent / 100 share a token of their prefixes. Sets with identical prefixes and size are one
 group; groups that share a prefix token are paired, then their members are expanded and verified on the whole sets.
 
 Only connectivity is asked for, so pairs aren't all made: first each list's most typical set is verified against the others, then, only in lists that
@@ -23,7 +23,9 @@ from pyspark.sql.window import Window
 from .common import stage
 from .components import connected
 
-SUMMARY, HOT_MIN, HOT_MAX, CHUNK = 40_000, 8, 500_000, 1 << 20
+SUMMARY, HOT_MIN, HOT_MAX, CHUNK = 40_000, 50, 500_000, 1 << 20
+#: Tokens that one task counts at a time, about.
+SLICE = 2_000_000
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
 SPACE = np.zeros(256, bool)
@@ -84,10 +86,10 @@ def sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
                 s = np.sort(code[a : b - n + 1])
                 yield s[np.concatenate([[True], s[1:] != s[:-1]])]
             elif b > a:
-                h = np.uint64(b - a)
-                for w in word[a:b]:
-                    h = mix(np.array([h * MIX1 + w + np.uint64(77)], np.uint64))[0]
-                yield np.array([h], np.uint64)
+                h = np.array([b - a], np.uint64)
+                for k in range(a, b):
+                    h = mix(h * MIX1 + word[k : k + 1] + np.uint64(77))
+                yield h
             else:
                 yield np.zeros(0, np.uint64)
 
@@ -142,39 +144,131 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint, n int, token bigint, count bigint")
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, hot) -> DataFrame:
-    """Rows (key, kind, val, n, u). kind 0: key is a token of the prefix of group val. kind 1: key is a group, val one of its sets; u: its tokens that aren't frequent."""
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("val", pa.int64()), ("n", pa.int32()), ("u", pa.int32())])
+def hash_slices(docs: DataFrame, n: int, percent: int, slices: int, hot) -> DataFrame:
+    """The sets of each batch of documents, cut by token: one row for each slice of the tokens' hash range.
+
+    sets: fingerprints, with in runs how many of toks (32 bits of the hash) each has. Frequent tokens aren't sent: they are last in the global order, so only those that still
+    belong to a prefix (late_key of late_set) are. sizes: (fingerprint, size), sent to the fingerprint's own slice.
+    """
+    names = ("sets", "runs", "toks", "late_key", "late_set", "size_set", "sizes")
+    schema = pa.schema([("slice", pa.int32()), *((x, pa.binary()) for x in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.frombuffer(hot.value, np.uint64)
         for b in batches:
-            key, kind, val, size, u, seen = [], [], [], [], [], set()
+            fps, all_sets = [], []
+            seen: set[int] = set()
             for s in sets(b.column("text").to_pylist(), n):
-                if not len(s) or (fp := fingerprint(s)) in seen:
-                    continue
-                seen.add(fp)
-                at = np.searchsorted(common, s)
-                often = (common[np.minimum(at, len(common) - 1)] == s) if len(common) else np.zeros(len(s), bool)
-                p = len(s) - (percent * len(s) + 99) // 100 + 1
-                head = np.concatenate([s[~often], s[often]])[:p]
-                g = fingerprint(head, len(s))
-                key.append(np.array([g], np.int64))
-                kind.append(np.ones(1, np.int32))
-                val.append(np.array([fp], np.int64))
-                size.append(np.full(1, len(s), np.int32))
-                u.append(np.full(1, (~often).sum(), np.int32))
-                if g not in seen:
-                    seen.add(g)
-                    key.append(head.view(np.int64))
-                    kind.append(np.zeros(len(head), np.int32))
-                    val.append(np.full(len(head), g, np.int64))
-                    size.append(np.full(len(head), len(s), np.int32))
-                    u.append(np.zeros(len(head), np.int32))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (key, kind, val, size, u)], schema=schema)
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "key bigint, kind int, val bigint, n int, u int")
+                if len(s) and (fp := fingerprint(s)) not in seen:
+                    seen.add(fp)
+                    fps.append(fp)
+                    all_sets.append(s)
+            if not fps:
+                continue
+            fp, size = np.array(fps, np.int64), np.array(list(map(len, all_sets)))
+            tok, doc = np.concatenate(all_sets), np.repeat(np.arange(len(fp)), size)
+            at = np.searchsorted(common, tok)
+            often = common[np.minimum(at, len(common) - 1)] == tok if len(common) else np.zeros(len(tok), bool)
+            # of each set's frequent tokens, which are in order, those that its prefix has room for
+            late = np.flatnonzero(often)
+            rare = np.bincount(doc[~often], minlength=len(fp))
+            room = size - (percent * size + 99) // 100 + 1 - rare
+            first = np.searchsorted(doc[late], np.arange(len(fp)))
+            late = late[np.arange(len(late)) - first[doc[late]] < room[doc[late]]]
+            tok, doc, late_key, late_set = tok[~often], doc[~often], tok[late], fp[doc[late]]
+            of = lambda t: ((t >> np.uint64(32)) % np.uint64(slices)).astype(np.uint16)
+            cut = of(tok)
+            order = np.argsort(cut, kind="stable")
+            cut, doc, tok32 = cut[order], doc[order], tok[order].astype(np.uint32)
+            start = np.flatnonzero(np.concatenate([[True], (cut[1:] != cut[:-1]) | (doc[1:] != doc[:-1])])) if len(cut) else np.zeros(0, int)
+            length = np.diff(np.append(start, len(cut))).astype(np.uint32)
+            edges, run_edges = np.searchsorted(cut, np.arange(slices + 1)), np.searchsorted(cut[start], np.arange(slices + 1))
+            late_cut, own = of(late_key), (fp.view(np.uint64) % np.uint64(slices)).astype(np.uint16)
+            rows = []
+            for k in range(slices):
+                i, j = run_edges[k], run_edges[k + 1]
+                x, y = late_cut == k, own == k
+                rows.append((fp[doc[start[i:j]]].tobytes(), length[i:j].tobytes(), tok32[edges[k] : edges[k + 1]].tobytes(), late_key[x].tobytes(), late_set[x].tobytes(), fp[y].tobytes(), size[y].astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows))], schema=schema)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slice int, " + ", ".join(f"{x} binary" for x in names))
+
+
+def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def counted(sliced: DataFrame, shards: int) -> DataFrame:
+    """Within a slice: in how many sets each token is. Goes back by set (shards of fingerprints): how many tokens it has that no other set has, and its others with their counts."""
+    names = ("sets", "alone", "many", "keys", "dfs", "late_key", "late_set", "size_set", "sizes")
+    schema = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in names)])
+
+    def count(key, table):
+        fp, length, tok = joined(table["sets"], np.int64), joined(table["runs"], np.uint32).astype(np.int64), joined(table["toks"], np.uint32)
+        fps, first = np.unique(fp, return_index=True)  # a set that several batches have counts once
+        keep = np.zeros(len(fp), bool)
+        keep[first] = True
+        tok, run = tok[np.repeat(keep, length)], length[keep]
+        owner = np.repeat(np.searchsorted(fps, fp[keep]), run)
+        order = np.argsort(tok, kind="stable")
+        t = tok[order]
+        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
+        df = np.zeros(len(tok), np.int64)
+        df[order] = np.repeat(np.diff(np.append(start, len(t))), np.diff(np.append(start, len(t))))
+        alone = np.bincount(owner[df == 1], minlength=len(fps)).astype(np.uint32)
+        with_others = df > 1
+        by = np.argsort(owner[with_others], kind="stable")
+        of_set = owner[with_others][by]
+        keys = (np.uint64(key[0].as_py()) << np.uint64(32)) | tok[with_others][by].astype(np.uint64)
+        dfs = df[with_others][by].astype(np.uint32)
+        many = np.bincount(of_set, minlength=len(fps)).astype(np.uint32)
+        late_key, late_set, size_set, sizes = (joined(table[c], k) for c, k in (("late_key", np.uint64), ("late_set", np.int64), ("size_set", np.int64), ("sizes", np.int32)))
+        of = lambda x: (mix(x.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+        a, b, c = of(fps), of(late_set), of(size_set)
+        rows = []
+        for k in range(shards):
+            x, y, z = a == k, b == k, c == k
+            m = x[of_set] if len(of_set) else np.zeros(0, bool)
+            rows.append((fps[x].tobytes(), alone[x].tobytes(), many[x].tobytes(), keys[m].tobytes(), dfs[m].tobytes(), late_key[y].tobytes(), late_set[y].tobytes(), size_set[z].tobytes(), sizes[z].tobytes()))
+        return pa.Table.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), *(pa.array(col, pa.binary()) for col in zip(*rows))], schema=schema)
+
+    return sliced.groupBy("slice").applyInArrow(count, "shard int, " + ", ".join(f"{x} binary" for x in names))
+
+
+def prefixes(sharded: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, kind, val, n, u). kind 0: key is a token of the prefix of group val. kind 1: key is a group, val one of its sets. u: tokens that no other set has.
+
+    Tokens of one set only are first in the order, then the rarer ones, then by hash. They pair nobody: a set whose prefix they fill is left out. Groups: sets with equal prefixes and sizes.
+    """
+    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("val", pa.int64()), ("n", pa.int32()), ("u", pa.int32())])
+
+    def choose(key, table):
+        fp, first = np.unique(joined(table["size_set"], np.int64), return_index=True)
+        n = joined(table["sizes"], np.int32)[first].astype(np.int64)
+        at = lambda x: np.searchsorted(fp, x)
+        part = at(joined(table["sets"], np.int64))
+        alone = np.bincount(part, joined(table["alone"], np.uint32), len(fp)).astype(np.int64)
+        keys, dfs = joined(table["keys"], np.uint64), joined(table["dfs"], np.uint32)
+        owner = np.repeat(part, joined(table["many"], np.uint32).astype(np.int64))
+        room = n - (percent * n + 99) // 100 + 1 - alone
+        live = room[owner] > 0
+        keys, dfs, owner = keys[live], dfs[live], owner[live]
+        order = np.lexsort((keys, dfs, owner))
+        keys, owner = keys[order], owner[order]
+        place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(fp)))[owner]
+        take = place < room[owner]
+        pair = np.unique(np.stack([at(joined(table["late_set"], np.int64)).astype(np.uint64), joined(table["late_key"], np.uint64)]), axis=1)
+        late_owner, late_key = pair[0].astype(np.int64), mix(pair[1])
+        keys, owner = np.concatenate([mix(keys[take] + np.uint64(1)), late_key]), np.concatenate([owner[take], late_owner])
+        sums = np.zeros(len(fp), np.uint64)
+        np.add.at(sums, owner, mix(keys))
+        there = np.bincount(owner, minlength=len(fp)) > 0
+        group = np.where(alone == 0, mix(sums + n.astype(np.uint64) * MIX1).view(np.int64), fp)
+        ids = np.flatnonzero(there)
+        i32 = lambda x: pa.array(np.asarray(x, np.int32))
+        return pa.Table.from_arrays([pa.array(np.concatenate([keys.view(np.int64), group[ids]])), i32([0] * len(keys) + [1] * len(ids)), pa.array(np.concatenate([group[owner], fp[ids]])), i32(np.concatenate([n[owner], n[ids]])), i32(np.concatenate([np.zeros(len(keys)), alone[ids]]))], schema=schema)
+
+    return sharded.groupBy("shard").applyInArrow(choose, "key bigint, kind int, val bigint, n int, u int")
 
 
 def whole_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -217,7 +311,10 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     rows = seen.where("token is null")
     frequent = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= HOT_MIN).orderBy(F.col("c").desc(), "token").limit(HOT_MAX)
     hot = spark.sparkContext.broadcast(np.sort(np.array(frequent.select("token").toArrow().column("token").to_numpy(), np.int64).view(np.uint64)).tobytes())
-    dealt = prefixes(docs, n, percent, hot).repartition(F.col("key")).dropDuplicates(["key", "kind", "val"])
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    slices = min(65_000, max(64, -(-total // SLICE)))
+    sharded = stage(counted(hash_slices(docs, n, percent, slices, hot), slices), "jaccard-counts")
+    dealt = prefixes(sharded, percent).repartition(F.col("key")).dropDuplicates(["key", "kind", "val"])
     lists = stage(dealt.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key", "kind"))).where("kind = 1 or c > 1"), "jaccard-lists")
     members = lists.where("kind = 1").select(F.col("key").alias("g"), F.col("val").alias("fp"), "n", "u", "c")
     shared = lists.where("kind = 0").select("key", F.col("val").alias("g")).join(members.drop("c"), "g").select("key", "fp", "n", "u")
@@ -233,9 +330,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     at = places.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     left = stage(at.join(open_keys, "key", "left_semi"), "jaccard-open")
-    x = left.select("key", F.col("fp").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = left.select("key", F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & fits(percent)).select("a", "b").distinct()
+    # pairs of components of a list first, then their members: what is joined is what has to be verified, not the list's square
+    inside = left.select("key", "component").distinct()
+    two = inside.withColumnRenamed("component", "ca").join(inside.withColumnRenamed("component", "cb"), "key").where("ca < cb")
+    x = left.select("key", F.col("fp").alias("x"), F.col("n").alias("na"), F.col("component").alias("ca"))
+    y = left.select("key", F.col("fp").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    across = two.join(x, ["key", "ca"]).join(y, ["key", "cb"]).where(fits(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stage(verified(across.join(tried, ["a", "b"], "left_anti"), tokens, percent), "jaccard-links")
     parts = connected(links.unionByName(more))
 
