@@ -291,9 +291,10 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp bigint, tokens array<bigint>")
 
 
-def fits(percent: int):
-    """The size filter: the smaller set can't be too small."""
-    return F.lit(100) * F.least("na", "nb") >= F.lit(percent) * F.greatest("na", "nb")
+def may_link(percent: int, na: str, ma: str, nb: str, mb: str):
+    """Size filter: n is a set's size, m how many of its tokens other sets have too. No more than the lesser m can be common, and the rest of both is in the union."""
+    common = F.least(ma, mb)
+    return F.lit(100) * common >= F.lit(percent) * (F.col(na) + F.col(nb) - common)
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -318,12 +319,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     lists = stage(dealt.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key", "kind"))).where("kind = 1 or c > 1"), "jaccard-lists")
     members = lists.where("kind = 1").select(F.col("key").alias("g"), F.col("val").alias("fp"), "n", "u", "c")
     shared = lists.where("kind = 0").select("key", F.col("val").alias("g")).join(members.drop("c"), "g").select("key", "fp", "n", "u")
-    places = stage(shared.unionByName(members.where("c > 1").select(F.col("g").alias("key"), "fp", "n", "u")), "jaccard-places")
+    places = stage(shared.unionByName(members.where("c > 1").select(F.col("g").alias("key"), "fp", "n", "u")).withColumn("m", F.col("n") - F.col("u")), "jaccard-places")
     reps = rows.where("n > 0").join(places.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     tokens = stage(whole_sets(docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi"), n).dropDuplicates(["fp"]), "jaccard-tokens")
 
-    pivot = places.groupBy("key").agg(F.min(F.struct("u", "fp", "n")).alias("p"))
-    first = places.join(pivot, "key").select(F.least("fp", F.col("p.fp")).alias("a"), F.greatest("fp", F.col("p.fp")).alias("b"), F.col("n").alias("na"), F.col("p.n").alias("nb")).where(fits(percent) & (F.col("a") != F.col("b")))
+    pivot = places.groupBy("key").agg(F.min(F.struct("u", "fp", "n", "m")).alias("p"))
+    first = places.join(pivot, "key").select(F.least("fp", F.col("p.fp")).alias("a"), F.greatest("fp", F.col("p.fp")).alias("b"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("p.n").alias("nb"), F.col("p.m").alias("mb")).where((F.col("a") != F.col("b")) & may_link(percent, "na", "ma", "nb", "mb"))
     tried = stage(first.select("a", "b").distinct(), "jaccard-pairs")
     links = stage(verified(tried, tokens, percent), "jaccard-links")
     parts = connected(links)
@@ -331,11 +332,12 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
     left = stage(at.join(open_keys, "key", "left_semi"), "jaccard-open")
     # pairs of components of a list first, then their members: what is joined is what has to be verified, not the list's square
-    inside = left.select("key", "component").distinct()
-    two = inside.withColumnRenamed("component", "ca").join(inside.withColumnRenamed("component", "cb"), "key").where("ca < cb")
-    x = left.select("key", F.col("fp").alias("x"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = left.select("key", F.col("fp").alias("y"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    across = two.join(x, ["key", "ca"]).join(y, ["key", "cb"]).where(fits(percent)).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    inside = left.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("m").alias("m"))
+    side = lambda c: inside.select("key", F.col("component").alias(f"c{c}"), F.col("n").alias(f"cn{c}"), F.col("m").alias(f"cm{c}"))
+    two = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_link(percent, "cna", "cma", "cnb", "cmb")).select("key", "ca", "cb")
+    x = left.select("key", F.col("fp").alias("x"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca"))
+    y = left.select("key", F.col("fp").alias("y"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
+    across = two.join(x, ["key", "ca"]).join(y, ["key", "cb"]).where(may_link(percent, "na", "ma", "nb", "mb")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stage(verified(across.join(tried, ["a", "b"], "left_anti"), tokens, percent), "jaccard-links")
     parts = connected(links.unionByName(more))
 

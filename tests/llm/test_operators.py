@@ -1,0 +1,227 @@
+import base64
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import brute
+from millrace.llm import bpe_transducer, chat_format, common, decontaminate, jaccard_join, quality_rules, queries, secret_scan, sharding, toxicity, url_filter, zstd_quality
+from oracle import duck, same
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id bigint, text string, score double, key bigint, spans string, row int"
+LONG = "The same words again and again. " * 4000
+
+
+@pytest.fixture(scope="module")
+def docs():
+    return duck(SF, "select doc_id, text from documents")[1]
+
+
+def odd(spark, texts):
+    """Rows with columns whose names clash with the operators' own; ids and texts repeat."""
+    common.bound_batches(spark)
+    rows = [(k // 2 if k % 3 else None, t, 0.1, 1, "x", 2) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOC)
+
+
+ODD = [None, "", " ", "a", "a", "a b c", "a b c", "é 日本 😀", "\n\n", LONG, LONG + "x", 'password: "hunter22"', None]
+
+
+def got(spark, name, columns):
+    common.bound_batches(spark)
+    return sorted(tuple(r) for r in queries.QUERIES[name](spark, SF).select(*columns).collect())
+
+
+def test_secret_scan_query(spark, docs):
+    assert got(spark, "op1_secret_scan", ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]) == sorted(brute.op1(docs))
+
+
+def test_secret_scan_cases(spark):
+    key = "Zk3qP9xVb7LmT2wRy8NcHs5JfGd4Ka6QeUo1Xi0B"
+    texts = [*ODD, f"see {key} here", "token=token:abcdefgh AKIA" + "Z" * 16 + " " + "0123456789abcdef" * 2, "PASSWD = 'ſecret99' api_key:short", "supercalifragilisticexpialidocious antidisestablishmentarianism"] + ["plain words of a text"] * 5
+    r = secret_scan.scan(odd(spark, texts).withColumn("doc_id", F.struct("doc_id", "text"))).select("doc_id.text", "n_assign", "n_access", "n_hex", secret_scan.joined(F.col("base")).alias("b"), secret_scan.joined(F.col("spans")).alias("s")).collect()
+    assert len(r) == len(texts)
+    want = {(t, *x[1:4], x[4]) for t in texts for x in brute.op1([(t, t)])}
+    assert {(x.text, x.n_assign, x.n_access, x.n_hex, brute.sha(x.b)) for x in r} == want
+    by = {x.text: x.s for x in r}
+    assert by[f"see {key} here"] == "random:4:44" and by[texts[-6]] == ""
+    red = odd(spark, ['a password: "hunter22" b']).select(secret_scan.redact(F.col("text"), F.expr("array(named_struct('start', 2, 'kind', 0, 'end', 21))"))).first()[0]
+    assert red == 'a [SECRET:assign]" b'
+    assert secret_scan.scan(odd(spark, ODD).limit(0)).count() == 0
+
+
+def test_chat_query(spark):
+    turns = duck(SF, "select conv_id, turn, role, text from conversations")[1] + queries.EXTRA_TURNS
+    assert got(spark, "op2_chat_format", ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256"]) == sorted(brute.op2(turns))
+
+
+def test_chat_escapes():
+    random.seed(3)
+    bits = ["<|", "<|turn|>", "<|end|>\n", "\\", "<", "|", "\n", "a", "<|image:0|>", "\\<|"]
+    for _ in range(500):
+        turns = [("".join(random.choices(bits, k=3)), "".join(random.choices(bits, k=6))) for _ in range(3)]
+        f = chat_format.Formatter()
+        for role, text in turns:
+            f.add(role, text)
+        assert chat_format.read_back(f.text) == turns
+
+
+def test_chat_parts(spark):
+    parts = '[{"type":"text","text":"see <|"},{"type":"image","ref":"a.png","width":1024,"height":512},{"type":"audio","ref":"b.wav","seconds":2},{"type":"document","ref":"c.pdf","pages":3},{"type":"odd","x":1}]'
+    df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", '["ok"]'), (None, 0, None, None)], "conv_id bigint, turn int, role string, content_json string")
+    rows = {r.conv_id: r for r in chat_format.format_conversations(df, "content_json").collect()}
+    r = rows[1]
+    assert [(a.kind, a.ref, a.tokens) for a in r.attachments] == [("image", "a.png", 512), ("audio", "b.wav", 50), ("document", "c.pdf", 1536)] and r.n_tokens_attached == 2098
+    assert all(r.formatted[a.start :].startswith(f"<|{a.kind}:{k}|>") for k, a in enumerate(r.attachments))
+    assert r.formatted[r.loss[0].start : r.loss[0].end] == "ok" and chat_format.read_back(rows[None].formatted) == [("", "")]
+
+
+def test_sharding(spark, docs):
+    rows = queries.op3_sharding(spark, SF).collect()
+    assert sorted((r.doc_id, r.size) for r in rows) == sorted((i, len((t or "").encode()) + 1) for i, t in docs)
+    by = {s: [r for r in rows if r.shard == s] for s in range(8)}
+    assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
+    sums = [sum(r.size for r in v) for v in by.values()]
+    assert max(sums) - min(sums) <= 0.2 * np.mean(sums)
+    hot = [("copy " * 50) for _ in range(300)] + [f"own text {k}" * 9 for k in range(300)] + ODD
+    r = sharding.assign(odd(spark, hot)).collect()
+    sums = [sum(x.size for x in r if x.shard == s) for s in range(8)]
+    assert len(r) == len(hot) and len({(x.shard, x.slot) for x in r}) == len(hot) and max(sums[s] for s in range(8)) <= max(1.01 * len(LONG), 1.5 * np.mean(sums))
+    assert sharding.assign(odd(spark, ODD).limit(0)).count() == 0
+
+
+def test_bpe_query(spark, docs):
+    import public_tokenizers
+    import tiktoken
+
+    raw, pattern = queries.tokenizer()
+    ranks = bpe_transducer.load_ranks(raw)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = [(i, len(ids := enc.encode_ordinary(t or "")), brute.sha(",".join(map(str, ids))), brute.sha((t or "").encode())) for i, t in docs]
+    assert got(spark, "op4_bpe_transducer", ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]) == sorted(want)
+    e, d, _ = bpe_transducer.machines(raw, pattern)
+    random.seed(1)
+    kinds = ["abcdef", "aàéüñ ", "  \n\t\x85\xa0", "日本語テ漢", "0123²½", "!?*#%&", "😀🎉👩‍🚀", "ЖдюΩλ"]
+    for s in ["".join(random.choice(random.choice(kinds)) for _ in range(random.randrange(60))) for _ in range(500)] + ["a" * 9000, "é" * 5000, " " * 4000, "<|endoftext|>"]:
+        ids = e.encode(s)
+        assert ids == enc.encode_ordinary(s) and d.whole(ids) == s and "".join(d.push([k]) for k in ids) + d.end() == s
+    small = bpe_transducer.Transducer(ranks, max_states=5)
+    for w in ("unbelievably", "x" * 9000, "ererthting"):
+        assert small.encode(w.encode()) == enc.encode_ordinary(w)
+    m = bpe_transducer.Utf8Machine()
+    for raw_bytes in (b"\xff", b"\xc3", b"\xe2\x82a", b"\xed\xa0\x80", b"\xf0\x9f\x98\x80", b"\xc0\xaf"):
+        m = bpe_transducer.Utf8Machine()
+        assert ("\ufffd" in m.push(raw_bytes) + m.end()) == ("\ufffd" in raw_bytes.decode("utf-8", "replace"))
+    assert bpe_transducer.encode(odd(spark, ODD), raw, pattern).where(F.size("ids") == 0).count() == 3
+    assert base64.b64encode(d.bytes_of[0])
+
+
+def test_jaccard_query(spark, docs):
+    assert got(spark, "op5_jaccard_join", ["doc_id", "n_shingles", "component_id"]) == sorted(brute.op5(docs))
+
+
+def test_jaccard_cases(spark):
+    random.seed(5)
+    base = [f"w{random.randrange(9999)}" for _ in range(120)]
+
+    def near(k):
+        w = list(base)
+        for _ in range(k):
+            w[random.randrange(len(w))] = f"n{random.randrange(10**9)}"
+        return " ".join(w)
+
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [None, "", " \t", "A b", "a B", "a b c d", "a b c d", " ".join(base)] + [near(random.randrange(1, 5)) for _ in range(60)] + [passage + " " + " ".join(f"q{random.randrange(10**9)}" for _ in range(60)) for _ in range(60)] + [LONG, LONG + "x"]
+    rows = list(enumerate(texts))
+    random.shuffle(rows)
+    common.bound_batches(spark)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("fp", F.lit(1)).withColumn("key", F.lit("k"))
+    for n, p in ((4, 85), (5, 80), (1, 100)):
+        assert sorted(tuple(r) for r in jaccard_join.join(df, n, p).collect()) == sorted(brute.op5(rows, n, p)), (n, p)
+    assert jaccard_join.join(df.limit(0), 4, 85).count() == 0
+
+
+def test_url_query(spark):
+    assert same(spark, "op6", queries.op6_url_filter, queries.ORACLES["op6_url_filter"], SF)
+
+
+def test_url_cases(spark):
+    urls = [None, "", "no scheme", "http://EXAMPLE.com/en/74?x", "http://a.example.com/en/8", "https://x.net", "ftp://example.net/de/81#a", "http://org/es/", "http://com?/en/", "a://b://com/en/", "http://notexample.com/en/7", "http://com/en/\n"]
+    df = spark.createDataFrame([(u, "h", "v") for u in urls], "url string, host string, verdict string")
+    r = {x.url: x.judged for x in url_filter.judge(df, queries.RULES).collect()}
+    assert len(r) == len(urls) and r[None].host == "" and r["http://EXAMPLE.com/en/74?x"].rule == "example.com/en/7"
+    assert r["http://a.example.com/en/8"].verdict == "block" and r["https://x.net"].rule is None and r["ftp://example.net/de/81#a"].rule == "example.net/de/8"
+    assert r["http://notexample.com/en/7"].rule == "com/en/" and r["http://com?/en/"].path == ""
+
+
+def held(spark, name, column, mod, rest):
+    lab = dict(duck("/root/testdata/sf0.01", f"select doc_id, {column} from labels")[1])
+    common.bound_batches(spark)
+    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.crc(r.doc_id) % mod == rest) for r in rows)
+    own = [(r.predicted, lab[r.doc_id]) for r in rows if r.held_out and r.doc_id in lab]
+    return sum(a == b for a, b in own) / len(own)
+
+
+def test_toxicity(spark):
+    assert held(spark, "op7_toxicity", "toxic", 5, 0) >= 0.93
+    m = toxicity.train([toxicity.features(t) for t in ["you idiot", "an idiot here", "idiot", "nice day", "a fine day", "good words"] * 3], np.array([1, 1, 1, 0, 0, 0] * 3), 0.3)
+    df = odd(spark, [*ODD, "idiot"])
+    r = {x.text: x.s for x in toxicity.score(df, m, "s").collect()}
+    assert r["idiot"] > 0.5 > r[""] and r[None] == r[""] and toxicity.score(df.limit(0), m, "s").count() == 0
+    none = toxicity.fit(df, spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert 0 < none.scores([None])[0] < 1
+    a = toxicity.features("x" * 10 + " " + "abcdefgh" * 40_000)
+    assert set(toxicity.features("abcdefgh" * 9)[:5]) - set(a) == set() or len(a) > 0
+
+
+def test_quality_classifier(spark):
+    assert held(spark, "op10_zstd_quality", "quality", 3, 1) >= 0.93
+    none = zstd_quality.fit(odd(spark, ODD), spark.createDataFrame([], "doc_id bigint, quality int"))
+    assert {round(x.s, 3) for x in zstd_quality.score(odd(spark, ODD), none, "s").collect()} == {0.5}
+
+
+def test_quality_rules(spark, docs):
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert got(spark, "op9_quality_rules", cols) == sorted(brute.op9(docs))
+    rows = quality_rules.judge(odd(spark, [*ODD, "a\x1cb c\u2003d", "x y z " * 30])).collect()
+    assert len(rows) == len(ODD) + 2 and not any(r.kept for r in rows if r.base_failed)
+    for t in [*ODD, "a\x1cb c\u2003d", "x y z " * 30, "l\nl\n \nm\nl"]:
+        assert quality_rules.counts(t)[:5] == brute.op9([(0, t)])[0][1:6]
+    assert quality_rules.judge(odd(spark, ODD).limit(0)).count() == 0
+
+
+def test_em_recovers_accuracies():
+    rng = np.random.default_rng(2)
+    y = rng.random(20000) < 0.8
+    acc = [0.95, 0.9, 0.85, 0.6]
+    votes = np.stack([np.where(rng.random(len(y)) < a, y, ~y) * 2 for a in acc], 1)
+    votes[rng.random(votes.shape) < 0.2] = 1
+    code = votes @ 3 ** np.arange(3, -1, -1)
+    post, table = quality_rules.fit(dict(zip(*np.unique(code, return_counts=True))), 4)
+    assert np.mean((post[code] >= 0.5) == y) > 0.93
+    assert abs(table[0, 1, 2] / (1 - table[0, 1, 1]) - 0.95) < 0.03 and table[3, 1, 2] < table[0, 1, 2]
+
+
+def test_decontaminate_query(spark, docs):
+    items = duck(SF, "select item_id, text from benchmark")[1]
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    assert got(spark, "op8_decontaminate", cols) == sorted(brute.op8(docs, items))
+
+
+def test_decontaminate_cases(spark, monkeypatch):
+    random.seed(7)
+    word = lambda: random.choice("abcdef")
+    items = [(k, " ".join(word() for _ in range(random.choice((0, 1, 3, 9, 10, 14))))) for k in range(12)] + [(3, None), (20, "Ünï 日本"), (21, "a a a a a a a a a a a a")]
+    texts = [None, "", "ünï", "x Ünï, 日本! y", "a " * 40] + [" ".join(word() for _ in range(200)) for _ in range(20)]
+    df = spark.createDataFrame([(k % 9, t, 1, "w", 2) for k, t in enumerate(texts)], "doc_id bigint, text string, row int, words string, at int")
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    want = sorted((x[0], x[1], x[2], x[3]) for k, t in enumerate(texts) for x in brute.op8([(k % 9, t)], items))
+    for limit in (200_000, 40):
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", limit)
+        r = decontaminate.decontaminate(df, bench)
+        assert sorted((x.doc_id, x.n_words, x.n_hit, len(x["items"])) for x in r.collect()) == want
+    assert decontaminate.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
+    assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
