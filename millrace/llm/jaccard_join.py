@@ -236,7 +236,7 @@ def counted(sliced: DataFrame, shards: int) -> DataFrame:
 
 
 def prefixes(sharded: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, kind, val, n, u). kind 0: key is a token of the prefix of group val. kind 1: key is a group, val one of its sets. u: tokens that no other set has.
+    """Rows (key, kind, val, n, u). kind 0: key is a token of the prefix of group val. u: the token's place in the order of the set. kind 1: key is a group, val one of its sets, u how many of its tokens no other set has.
 
     Tokens of one set only are first in the order, then the rarer ones, then by hash. They pair nobody: a set whose prefix they fill is left out. Groups: sets with equal prefixes and sizes.
     """
@@ -259,6 +259,9 @@ def prefixes(sharded: DataFrame, percent: int) -> DataFrame:
         take = place < room[owner]
         pair = np.unique(np.stack([at(joined(table["late_set"], np.int64)).astype(np.uint64), joined(table["late_key"], np.uint64)]), axis=1)
         late_owner, late_key = pair[0].astype(np.int64), mix(pair[1])
+        late_place = np.arange(len(late_owner)) - np.searchsorted(late_owner, np.arange(len(fp)))[late_owner]
+        rare = np.bincount(part, joined(table["alone"], np.uint32).astype(np.int64) + joined(table["many"], np.uint32), len(fp)).astype(np.int64)
+        place = np.concatenate([(alone[owner] + place)[take], rare[late_owner] + late_place])
         keys, owner = np.concatenate([mix(keys[take] + np.uint64(1)), late_key]), np.concatenate([owner[take], late_owner])
         sums = np.zeros(len(fp), np.uint64)
         np.add.at(sums, owner, mix(keys))
@@ -266,7 +269,7 @@ def prefixes(sharded: DataFrame, percent: int) -> DataFrame:
         group = np.where(alone == 0, mix(sums + n.astype(np.uint64) * MIX1).view(np.int64), fp)
         ids = np.flatnonzero(there)
         i32 = lambda x: pa.array(np.asarray(x, np.int32))
-        return pa.Table.from_arrays([pa.array(np.concatenate([keys.view(np.int64), group[ids]])), i32([0] * len(keys) + [1] * len(ids)), pa.array(np.concatenate([group[owner], fp[ids]])), i32(np.concatenate([n[owner], n[ids]])), i32(np.concatenate([np.zeros(len(keys)), alone[ids]]))], schema=schema)
+        return pa.Table.from_arrays([pa.array(np.concatenate([keys.view(np.int64), group[ids]])), i32([0] * len(keys) + [1] * len(ids)), pa.array(np.concatenate([group[owner], fp[ids]])), i32(np.concatenate([n[owner], n[ids]])), i32(np.concatenate([place, alone[ids]]))], schema=schema)
 
     return sharded.groupBy("shard").applyInArrow(choose, "key bigint, kind int, val bigint, n int, u int")
 
@@ -292,7 +295,8 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def may_link(percent: int, na: str, ma: str, nb: str, mb: str):
-    """Size filter: n is a set's size, m how many of its tokens other sets have too. No more than the lesser m can be common, and the rest of both is in the union."""
+    """Size and place filter: n is a set's size, m how many of its tokens are from the list's token on. If that is the first token that two sets share, no more than
+    the lesser m can be common, and the rest of both is in the union; if it isn't, they meet in the list of the first, too."""
     common = F.least(ma, mb)
     return F.lit(100) * common >= F.lit(percent) * (F.col(na) + F.col(nb) - common)
 
@@ -318,8 +322,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     dealt = prefixes(sharded, percent).repartition(F.col("key")).dropDuplicates(["key", "kind", "val"])
     lists = stage(dealt.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key", "kind"))).where("kind = 1 or c > 1"), "jaccard-lists")
     members = lists.where("kind = 1").select(F.col("key").alias("g"), F.col("val").alias("fp"), "n", "u", "c")
-    shared = lists.where("kind = 0").select("key", F.col("val").alias("g")).join(members.drop("c"), "g").select("key", "fp", "n", "u")
-    places = stage(shared.unionByName(members.where("c > 1").select(F.col("g").alias("key"), "fp", "n", "u")).withColumn("m", F.col("n") - F.col("u")), "jaccard-places")
+    shared = lists.where("kind = 0").select("key", F.col("val").alias("g"), F.col("u").alias("place")).join(members.drop("c"), "g").select("key", "fp", "n", "u", (F.col("n") - F.col("place")).alias("m"))
+    places = stage(shared.unionByName(members.where("c > 1").select(F.col("g").alias("key"), "fp", "n", "u", F.col("n").alias("m"))), "jaccard-places")
     reps = rows.where("n > 0").join(places.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     tokens = stage(whole_sets(docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi"), n).dropDuplicates(["fp"]), "jaccard-tokens")
 
@@ -334,10 +338,11 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # pairs of components of a list first, then their members: what is joined is what has to be verified, not the list's square
     inside = left.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("m").alias("m"))
     side = lambda c: inside.select("key", F.col("component").alias(f"c{c}"), F.col("n").alias(f"cn{c}"), F.col("m").alias(f"cm{c}"))
-    two = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_link(percent, "cna", "cma", "cnb", "cmb")).select("key", "ca", "cb")
-    x = left.select("key", F.col("fp").alias("x"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("ca"))
+    two = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_link(percent, "cna", "cma", "cnb", "cmb")).select("key", "ca", "cb", "cnb", "cmb")
+    x = left.select(F.col("key").alias("kx"), F.col("fp").alias("x"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("cx"))
     y = left.select("key", F.col("fp").alias("y"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
-    across = two.join(x, ["key", "ca"]).join(y, ["key", "cb"]).where(may_link(percent, "na", "ma", "nb", "mb")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    one = two.join(x, (F.col("key") == F.col("kx")) & (F.col("ca") == F.col("cx")) & may_link(percent, "na", "ma", "cnb", "cmb"))
+    across = one.select("key", "cb", "x", "na", "ma").join(y, ["key", "cb"]).where(may_link(percent, "na", "ma", "nb", "mb")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     more = stage(verified(across.join(tried, ["a", "b"], "left_anti"), tokens, percent), "jaccard-links")
     parts = connected(links.unionByName(more))
 
