@@ -19,7 +19,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-MAX_STATES, MAX_WORDS, MAX_WORD = 100_000, 300_000, 64
+MAX_STATES, MAX_WORDS, MAX_WORD = 60_000, 200_000, 64
 START, ROOT, NEVER = -1, 0, 1 << 60
 
 
