@@ -10,6 +10,7 @@ A state table or word memo that is full is dropped and built anew, which changes
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -19,7 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-MAX_STATES, MAX_WORDS, MAX_WORD = 60_000, 200_000, 64
+MAX_STATES, MAX_WORDS, MAX_WORD = 60_000, 300_000, 64
 START, ROOT, NEVER = -1, 0, 1 << 60
 
 
@@ -27,22 +28,17 @@ def load_ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
-def merge(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """The merges themselves, lowest rank first: used to compile, on single tokens and pairs of tokens."""
+def merge(word: bytes, ranks: dict[bytes, int], below: int = NEVER) -> list[bytes]:
+    """The merges themselves, lowest rank first, of ranks under a bound: used to compile."""
     parts = [word[k : k + 1] for k in range(len(word))]
     while len(parts) > 1:
-        best, at = min((ranks.get(a + b, 1 << 60), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-        if best == 1 << 60:
+        best, at = min((ranks.get(a + b, NEVER), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
+        if best >= below:
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return parts
 
 
-def subwords(token: bytes) -> list[bytes]:
-    n = len(token)
-    return [token[i:j] for i in range(n) for j in range(i + 2, n + 1) if j - i < n]
-
-
 class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
@@ -53,7 +49,7 @@ class Transducer:
         self.right: dict[int, list[tuple[bytes, int]]] = {}
         for token, k in sorted(ranks.items(), key=lambda x: x[1]):
             self.bytes_of[k] = token
-            parts = merge(token, {t: r for t in subwords(token) if (r := ranks.get(t)) is not None and r < k}) if len(token) > 1 else [token]
+            parts = merge(token, ranks, k)
             if len(parts) > 2 or not all(ranks[p] in self.left for p in parts if len(token) > 1):  # no merges lead to it: it is written only as a whole word
                 continue
             self.left[k], self.right[k] = self.edges(token, k, parts)
@@ -137,22 +133,31 @@ class Transducer:
             n += 1
         return (tuple((a, b, c[n:]) for a, b, c in new) if n else tuple(new)), head[:n]
 
-    def feed(self, at: int, data: bytes, out: list[int]) -> int:
-        moves = self.moves
-        for byte in data:
-            move = moves[at].get(byte)
-            if move is None:
+    def feed(self, data: bytes, out: list[int]) -> tuple:
+        """From the start over all of data; returns the state. A move gets its place in the table when it is met for the second time, as most words' last moves never are; in long words, which no memo keeps, at once."""
+        moves, at, long = self.moves, 0, len(data) > MAX_WORD
+        for k, byte in enumerate(data):
+            move = moves[at].get(byte, 0)
+            if not move:
                 state, emitted = self.step(self.states[at], byte)
-                to = self.ids.get(state)
-                if to is None:
-                    to = self.ids[state] = len(self.states)
-                    self.states.append(state)
-                    moves.append({})
-                move = moves[at][byte] = (to, emitted)
+                if move is None or long and len(self.states) <= self.max_states:
+                    to = self.ids.get(state)
+                    if to is None:
+                        to = self.ids[state] = len(self.states)
+                        self.states.append(state)
+                        moves.append({})
+                    move = moves[at][byte] = (to, emitted)
+                else:
+                    moves[at][byte] = None
+                    out.extend(emitted)
+                    for rest in data[k + 1 :]:
+                        state, emitted = self.step(state, rest)
+                        out.extend(emitted)
+                    return state
             at, emitted = move
             if emitted:
                 out.extend(emitted)
-        return at
+        return self.states[at]
 
     def last(self, state: tuple, byte: int) -> tuple[int, ...]:
         """What is still to be written if the word ends with this byte: the held tokens of the one parse that ends there."""
@@ -163,23 +168,15 @@ class Transducer:
         raise ValueError("a byte that isn't a token itself")
 
     def encode(self, word: bytes) -> list[int]:
-        """Tokens of one word. A table that is full is dropped, within long words too; the state that is needed is carried over."""
+        """Tokens of one word. A state table that is full is dropped before the word."""
         whole = self.ranks.get(word)
         if whole is not None or not word:
             return [whole] if word else []
+        if len(self.states) > self.max_states:
+            self.reset()
         out: list[int] = []
-        at = 0
-        for k in range(0, len(word) - 1, 4096):
-            if len(self.states) > self.max_states:
-                now = self.states[at]
-                self.reset()
-                if now != self.states[0]:
-                    self.states.append(now)
-                    self.moves.append({})
-                    self.ids[now] = 1
-                at = 0 if now == self.states[0] else 1
-            at = self.feed(at, word[k : min(k + 4096, len(word) - 1)], out)
-        out.extend(self.last(self.states[at], word[-1]))
+        state = self.feed(word[:-1], out)
+        out.extend(self.last(state, word[-1]))
         return out
 
 
@@ -330,9 +327,11 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", w
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for texts in batches:
             rows = []
+            gc.disable()  # the tables hold no cycles, and passing over them costs more than all else
             for t in texts:
                 ids = e.encode(t)
                 rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(d.whole(ids).encode("utf-8", "surrogatepass")), *[ids] * with_ids))
+            gc.enable()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))
