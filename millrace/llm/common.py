@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Rows and bytes of an Arrow batch at most: very long texts must not make a batch of gigabytes.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+#: Allocators of Python workers, where the session says nothing else: blocks over 4 MB go back to the system when freed, so a worker that waits for its next task holds little.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(4 << 20), "MALLOC_TRIM_THRESHOLD_": str(4 << 20)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,10 +22,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Before Python operators: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more, and this package on the Python workers' path (on a cluster, ship it with --py-files)."""
+    """Before Python operators: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more, allocators that give memory back, and this package on the Python workers' path (on a cluster, ship it with --py-files)."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
+    for k, v in WORKER_MEMORY.items():
+        env.setdefault(k, v)
     for k, v in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         with contextlib.suppress(Exception):
             now = spark.conf.get(k)
