@@ -20,6 +20,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import kept
+
 MAX_STATES, MAX_WORDS, MAX_WORD = 60_000, 300_000, 64
 START, ROOT, NEVER = -1, 0, 1 << 60
 
@@ -292,17 +294,14 @@ class StreamDecoder:
             return self.push(ids) + self.end()
 
 
-_made: dict[tuple[str, str], tuple[Encoder, StreamDecoder, list[str]]] = {}
-
-
 def machines(raw: bytes, pattern: str) -> tuple[Encoder, StreamDecoder, list[str]]:
-    """Compiled once a Python worker."""
-    key = (hashlib.sha256(raw).hexdigest(), pattern)
-    if key not in _made:
+    """Compiled once a Python worker, kept until it serves another operator."""
+
+    def make() -> tuple[Encoder, StreamDecoder, list[str]]:
         e = Encoder(load_ranks(raw), pattern)
-        _made.clear()
-        _made[key] = e, StreamDecoder(e.machine.bytes_of), [str(k) for k in range(len(e.machine.bytes_of))]
-    return _made[key]
+        return e, StreamDecoder(e.machine.bytes_of), [str(k) for k in range(len(e.machine.bytes_of))]
+
+    return kept((hashlib.sha256(raw).hexdigest(), pattern), make)
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, into: str = "ids") -> DataFrame:

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,6 +39,32 @@ def bound_batches(spark: SparkSession) -> None:
                 spark.conf.set(k, str(v))
 
 
+_kept: dict[Any, Any] = {}
+
+
+def trim() -> None:
+    """Freed memory of this process goes back to the system."""
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def let_go() -> None:
+    """In a Python worker, before a task that keeps nothing: what another operator kept goes, and its memory back to the system."""
+    if _kept:
+        _kept.clear()
+        gc.collect()
+    trim()
+
+
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one thing, so that workers that serve one operator after another don't hold the tables of all."""
+    if key not in _kept:
+        let_go()
+        _kept[key] = make()
+        trim()
+    return _kept[key]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of our own only where that is unset, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None)

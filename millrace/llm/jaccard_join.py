@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import stage
+from .common import kept, let_go, stage
 from .components import connected
 
 SUMMARY, HOT_MIN, HOT_MAX, CHUNK = 40_000, 50, 500_000, 1 << 20
@@ -34,7 +34,6 @@ SPACE[[32, *range(9, 14)]] = True
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_powers: list[np.ndarray] = []
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,12 +42,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2 ** 64."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK + 1024)
-        _powers[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (np.uint64(BASE), np.uint64(INVERSE))]
-    return _powers[0], _powers[1]
+def powers(n: int) -> list[np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2 ** 64. Those that a longer text than usual needs aren't kept."""
+    make = lambda size: [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)])) for x in (np.uint64(BASE), np.uint64(INVERSE))]
+    return kept("powers", lambda: make(CHUNK + 1024)) if n <= CHUNK + 1024 else make(n)
 
 
 def chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
@@ -124,6 +121,7 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         summary = Summary()
         for b in batches:
             fps, ns, seen = [], [], {}
@@ -154,6 +152,7 @@ def hash_slices(docs: DataFrame, n: int, percent: int, slices: int, hot) -> Data
     schema = pa.schema([("slice", pa.int32()), *((x, pa.binary()) for x in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         common = np.frombuffer(hot.value, np.uint64)
         for b in batches:
             fps, all_sets = [], []
@@ -204,6 +203,7 @@ def counted(sliced: DataFrame, shards: int) -> DataFrame:
     schema = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in names)])
 
     def count(key, table):
+        let_go()
         fp, length, tok = joined(table["sets"], np.int64), joined(table["runs"], np.uint32).astype(np.int64), joined(table["toks"], np.uint32)
         fps, first = np.unique(fp, return_index=True)  # a set that several batches have counts once
         keep = np.zeros(len(fp), bool)
@@ -243,6 +243,7 @@ def prefixes(sharded: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("val", pa.int64()), ("n", pa.int32()), ("u", pa.int32())])
 
     def choose(key, table):
+        let_go()
         fp, first = np.unique(joined(table["size_set"], np.int64), return_index=True)
         n = joined(table["sizes"], np.int32)[first].astype(np.int64)
         at = lambda x: np.searchsorted(fp, x)
@@ -279,6 +280,7 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     schema = pa.schema([("fp", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         for b in batches:
             fps, got, size = [], [], 0
             for s in sets(b.column("text").to_pylist(), n):

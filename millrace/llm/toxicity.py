@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_share, label_sample
+from .common import class_share, label_sample, let_go
 
 N_GRAMS, BUCKET_BITS, SAMPLE, ALPHA = (4, 5, 6), 18, {1: 2000, 0: 3000}, 0.5
 #: Features in fewer sample rows than MIN_ROWS, or with a log-count ratio nearer to 0 than MIN_RATIO, get no weight.
@@ -116,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: dict[
 
     @F.pandas_udf("binary")
     def get(texts: pd.Series) -> pd.Series:
+        let_go()
         return texts.map(lambda t: features(t).tobytes())
 
     got = docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "y", get("text").alias("f")).toArrow()
@@ -130,6 +131,7 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        let_go()
         return pd.Series(held.value.scores(texts))
 
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))

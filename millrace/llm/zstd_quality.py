@@ -17,7 +17,7 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import class_share, label_sample
+from .common import class_share, label_sample, let_go
 
 SAMPLE, BLOCKS_PER_DOC, BLOCK, DICT_BYTES, LEVEL = 2000, 3, 2048, 112 * 1024, 3
 
@@ -102,6 +102,7 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int
 
     @F.pandas_udf("array<binary>")
     def cut(t: pd.Series) -> pd.Series:
+        let_go()
         return t.map(blocks)
 
     rows = texts.where("half = 0").select("doc_id", "y", cut("text").alias("b")).collect()
@@ -125,6 +126,7 @@ def score(docs: DataFrame, model: Model, into: str = "score") -> DataFrame:
 
     @F.pandas_udf("double")
     def run(texts: pd.Series) -> pd.Series:
+        let_go()
         return pd.Series(model.probability(np.array(list(map(model.scorer(), texts))).reshape(-1, 2)))
 
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))
