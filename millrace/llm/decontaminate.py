@@ -2,7 +2,10 @@
 
 Every window of WINDOW consecutive item words (an item of fewer, but not none, is one window) is looked for by its rarest term: the terms' frequencies are counted over
 all texts, and the postings of these terms, aligned with the item's offsets, are stored with the length of the run of equal words on their diagonal. A run as
-long as a window is an exact phrase; NEAR or more aligned terms of an item within SLOP words of one diagonal are a proximity match.
+long as a window is an exact phrase. Two things are a proximity match of an item, each within SLOP neighbouring diagonals, wherever those begin:
+- NEAR_PERCENT of SPAN consecutive item words (of all words of a shorter item) are in the text. Of so many places in a span, at least one is among its
+  rarest SPAN - needed + 1, so the postings of these find every such match, and each is checked on the words themselves;
+- NEAR or more places of the windows' rarest terms are in the text.
 The items go to executors in blocks of at most BLOCK_WORDS words, one pass over the texts for each block, so what is broadcast is bounded however many items there are.
 Null and empty texts have no words; each input row is judged on its own, repeated ids too; items without words match nothing; empty tables give no rows.
 """
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import ascii_lower, stage
 
-WINDOW, BLOCK_WORDS, SLOP, NEAR = 10, 200_000, 8, 3
+WINDOW, BLOCK_WORDS, SLOP, NEAR, SPAN, NEAR_PERCENT = 10, 200_000, 8, 3, 20, 80
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -29,28 +32,73 @@ def run_length(a: Column, b: Column) -> Column:
     return F.when(miss > 0, miss - 1).otherwise(F.greatest(F.size(a), F.size(b))).cast("int")
 
 
+def span(item: Column) -> Column:
+    return F.least(F.size(item), F.lit(SPAN))
+
+
+def needed(item: Column) -> Column:
+    """How many words of a span make a proximity match."""
+    return F.ceil(span(item) * NEAR_PERCENT / 100).cast("int")
+
+
 def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """term, item_id, item (its words) and at (place in it): of each window its rarest term, of equally rare ones the first place."""
+    """term, item_id, item (its words), item_at (place in it), anchor and least. anchor: it is some window's rarest term, of equally rare ones the first place.
+    least: of the spans that have it among their rarest places, how many different words a match has at least; null if there is no such span."""
     each = items.select("item_key", "item_id", "item", F.posexplode("item").alias("at", "term")).join(counts, "term", "left")
-    ahead = Window.partitionBy("item_key").orderBy("at").rowsBetween(0, window - 1)
-    best = F.min(F.struct(F.coalesce("n", F.lit(0)), F.col("at"), F.col("term"))).over(ahead)
-    n = F.size("item")
-    starts = each.select("item_key", "item_id", "item", "at", best.alias("best")).where((F.col("at") + window <= n) | ((F.col("at") == 0) & (n < window)))
-    return starts.select("item_key", "item_id", "item", F.col("best.at").alias("item_at"), F.col("best.term").alias("term")).distinct()
+    place = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("term"))
+    ahead = lambda k: Window.partitionBy("item_key").orderBy("at").rowsBetween(0, k - 1)
+    n, item = F.size("item"), F.col("item")
+    starts = lambda k: (F.col("at") + k <= n) | ((F.col("at") == 0) & (n < k))
+    one = each.select("item_key", "item_id", "item", "at", F.min(place).over(ahead(window)).alias("best")).where(starts(window)).withColumn("least", F.lit(None).cast("int"))
+    spans = each.select("item_key", "item_id", "item", "at", F.array_sort(F.collect_list(place).over(ahead(SPAN))).alias("all")).where(starts(SPAN))
+    least = F.size(F.array_distinct(F.transform("all", lambda x: x["term"]))) - span(item) + needed(item)
+    rare = spans.select("item_key", "item_id", "item", F.explode(F.slice("all", F.lit(1), span(item) - needed(item) + 1)).alias("best"), least.alias("least"))
+    both = one.select("item_key", "item_id", "item", "best", "least", F.lit(True).alias("anchor")).unionByName(rare.withColumn("anchor", F.lit(False)))
+    return both.groupBy("item_key", F.col("best.at").alias("item_at"), F.col("best.term").alias("term")).agg(F.first("item_id").alias("item_id"), F.first("item").alias("item"), F.max("anchor").alias("anchor"), F.min("least").alias("least"))
+
+
+def part(w: Column, x: Column, y: Column) -> Column:
+    """Words x to y, as far as there are such."""
+    return F.slice(w, F.greatest(x, F.lit(0)) + 1, F.greatest(y - F.greatest(x, F.lit(0)) + 1, F.lit(0)))
+
+
+def around(i: Column, b: Column) -> tuple[Column, Column]:
+    """First and last place of the spans that hold place b."""
+    return F.greatest(b - span(i) + 1, F.lit(0)), F.least(b + span(i) - 1, F.size(i) - 1)
+
+
+def may_be_near(w: Column, i: Column, a: Column, b: Column, least: Column) -> Column:
+    """False only if words w have no proximity match of a span of item i on SLOP diagonals, that of places a and b among them: too few of its different words are thereabouts. No lambdas, so that it is compiled into the join."""
+    low, high = around(i, b)
+    return F.size(F.array_intersect(F.slice(i, low + 1, high - low + 1), part(w, a - b + low - SLOP + 1, a - b + high + SLOP - 1))) >= least
+
+
+def is_near(w: Column, i: Column, a: Column, b: Column) -> Column:
+    """Whether they have one."""
+    (low, high), size, need = around(i, b), span(i), needed(i)
+    there = lambda f: F.filter(F.sequence(low, high), lambda p: F.array_contains(part(w, a - b + p + f, a - b + p + f + SLOP - 1), F.get(i, p)))
+    close = lambda m: F.when(F.size(m) >= need, F.exists(F.sequence(F.lit(0), F.size(m) - need), lambda k: F.get(m, k + need - 1) - F.get(m, k) < size)).otherwise(False)
+    return F.exists(F.transform(F.sequence(F.lit(1 - SLOP), F.lit(0)), there), close)
 
 
 def postings(texts: DataFrame, probes: DataFrame, window: int) -> DataFrame:
-    """row, doc_id, at, item_id, item_key, item_at, left, right: the index. A row of each text with item_key null has its number of words as at."""
+    """row, doc_id, at, item_id, item_key, item_at, anchor, left, right, need, near: the index. A row of each text with item_key null has its number of words as at.
+    Postings that are neither anchors nor in a proximity match aren't stored."""
     end = texts.sparkSession.createDataFrame([("", None)], "term string, item_key bigint")
     probes = probes.unionByName(end, allowMissingColumns=True)
     each = texts.select("row", "doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "term"))
-    hit = each.join(F.broadcast(probes), "term")
     w, i, a, b = F.col("words"), F.col("item"), F.col("at"), F.col("item_at")
+    may = F.coalesce(may_be_near(w, i, a, b, F.col("least")), F.lit(False))
+    hit = each.join(F.broadcast(probes), "term").where(F.col("item_key").isNull() | F.col("anchor") | may)
     right = run_length(F.slice(w, a + 1, F.lit(window)), F.slice(i, b + 1, F.lit(window)))
     back = lambda x, k: F.reverse(F.slice(x, F.greatest(k - window + 2, F.lit(1)), F.least(k, F.lit(window - 1))))
     left = run_length(back(w, a), back(i, b))
-    return hit.select("row", "doc_id", "at", "item_id", "item_key", "item_at", F.when(F.col("item_key").isNotNull(), left).alias("left"), F.when(F.col("item_key").isNotNull(), right).alias("right"),
-                      F.least(F.size("item"), F.lit(window)).alias("need"))
+    real = F.col("item_key").isNotNull()
+    near = F.when(real & may, F.when(left + right >= needed(i), True).otherwise(is_near(w, i, a, b))).otherwise(False)
+    # exploded, so that the filter below stays behind the join and the values are made once
+    values = F.struct(F.when(F.col("anchor"), left).alias("left"), F.when(F.col("anchor"), right).alias("right"), near.alias("near"))
+    made = hit.select("row", "doc_id", "at", "item_id", "item_key", "item_at", "anchor", F.least(F.size("item"), F.lit(window)).alias("need"), F.explode(F.array(values)).alias("v"))
+    return made.select("row", "doc_id", "at", "item_id", "item_key", "item_at", "anchor", "need", "v.left", "v.right", "v.near").where(F.col("item_key").isNull() | F.col("anchor") | F.col("near"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -70,11 +118,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     index = reduce(DataFrame.unionByName, parts)
     texts = parts[0].where("item_key is null").select("row", "doc_id", F.col("at").cast("bigint").alias("n_words"))
     found = index.where("item_key is not null")
-    exact = found.where(F.col("left") + F.col("right") >= F.col("need")).select("row", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
+    exact = found.where(F.col("anchor") & (F.col("left") + F.col("right") >= F.col("need"))).select("row", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     hits = exact.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"), F.collect_set("item_id").alias("items"))
-    diagonal = F.floor((F.col("at") - F.col("item_at")) / SLOP)
-    near = found.groupBy("row", "item_key", diagonal.alias("d")).agg(F.countDistinct("item_at").alias("n")).where(F.col("n") >= NEAR).groupBy("row").agg(F.countDistinct("item_key").alias("n_near"))
+    aligned = found.where("anchor").select("row", "item_key", "item_at", (F.col("at") - F.col("item_at")).alias("d"))
+    several = aligned.groupBy("row", "item_key").agg(F.countDistinct("item_at").alias("n")).where(F.col("n") >= NEAR).select("row", "item_key")
+    bands = aligned.join(several, ["row", "item_key"], "left_semi").select("row", "item_key", "item_at", F.explode(F.sequence(F.col("d") - SLOP + 1, F.col("d"))).alias("band"))
+    by_anchors = bands.groupBy("row", "item_key", "band").agg(F.countDistinct("item_at").alias("n")).where(F.col("n") >= NEAR).select("row", "item_key")
+    near = found.where("near").select("row", "item_key").unionByName(by_anchors).groupBy("row").agg(F.countDistinct("item_key").alias("n_near"))
     return texts.join(hits, "row", "left").join(near, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"))

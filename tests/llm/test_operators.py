@@ -225,3 +225,53 @@ def test_decontaminate_cases(spark, monkeypatch):
         assert sorted((x.doc_id, x.n_words, x.n_hit, len(x["items"])) for x in r.collect()) == want
     assert decontaminate.decontaminate(df, bench.limit(0)).where("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(df.limit(0), bench).count() == 0
+
+
+def near_counts(texts, items, window=10):
+    """Items with a proximity match in each text, by the definition: all spans, all diagonals."""
+    of = lambda t: brute.re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(brute.LOW))
+    docs, its = list(map(of, texts)), list(map(of, items))
+    n = brute.Counter(x for d in docs for x in d)
+    out = []
+    for d in docs:
+        found = 0
+        for w in its:
+            size = min(len(w), decontaminate.SPAN)
+            need = -(-decontaminate.NEAR_PERCENT * size // 100)
+            anchors = {min((n[w[k]], k) for k in range(s, min(s + window, len(w))))[1] for s in range(max(1, len(w) - window + 1))} if w else set()
+            pairs = [(b, a - b) for a, x in enumerate(d) for b, y in enumerate(w) if x == y]
+            ok = False
+            for low in {e - f for _, e in pairs for f in range(decontaminate.SLOP)}:
+                there = sorted({b for b, e in pairs if low <= e < low + decontaminate.SLOP})
+                ok |= any(there[k + need - 1] - there[k] < size for k in range(len(there) - need + 1)) or len(anchors & set(there)) >= decontaminate.NEAR
+            found += ok
+        out.append(found)
+    return out
+
+
+def test_decontaminate_proximity(spark):
+    random.seed(11)
+    vocabulary = [f"v{chr(97 + k % 26)}{k}x" for k in range(300)]
+    make = lambda k: [random.choice(vocabulary) for _ in range(k)]
+    items = [make(k) for k in (1, 3, 5, 8, 10, 11, 12, 15, 30, 59)]
+
+    def copy(w, swap, new):
+        w = list(w)
+        for k in random.sample(range(len(w)), min(swap, len(w))):
+            w[k] = new()
+        return make(30) + w + make(30)
+
+    texts = ["", None, " ".join(vocabulary)]
+    for w in items:
+        one = len(w) // 10 or 1
+        # changed to words that are nowhere else, to others of the vocabulary, with words put in, and only a part of it
+        texts += [" ".join(copy(w, k * one, f)) for k in (0, 1, 2, 3) for f in (lambda: f"new{random.randrange(10**9)}", lambda: random.choice(vocabulary))]
+        texts += [" ".join(copy(w[: len(w) // 2] + make(k) + w[len(w) // 2 :], one, lambda: "other")) for k in (3, 7, 9)] + [" ".join(copy(w[-20:], 1, lambda: "other"))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id bigint, text string")
+    got = {r.doc_id: r.n_near for r in decontaminate.decontaminate(df, bench).collect()}
+    assert [got[k] for k in range(len(texts))] == near_counts(texts, [" ".join(w) for w in items])
+    # an item of 11 words, one of them changed; and the word that is changed is nowhere in the texts
+    changed = "qa qb qc qd zz qf qg qh qi qj qk"
+    r = decontaminate.decontaminate(spark.createDataFrame([(1, f"some {changed} text")], "doc_id bigint, text string"), spark.createDataFrame([(1, changed.replace("zz", "qe"))], "item_id bigint, text string")).first()
+    assert (r.n_hit, r.n_near) == (0, 1)
