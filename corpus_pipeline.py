@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's input.
 
 Every stage works on all rows that the one before kept, and its decisions take effect. Decisions are applied by the pair (doc_id, hash of the text), so repeated
-ids with different texts are told apart; in the near-duplicate stage they are applied by doc_id, and of repeated equal rows one stays.
+and null ids with different texts are told apart; of rows with equal id and text the near-duplicate stage keeps one.
 Columns beside those of documents are passed through. Null texts count as empty; an empty table goes through all stages.
 """
 
@@ -41,18 +41,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (operator 5) the document with the least doc_id stays."""
+    """Of each group of near duplicates (operator 5) one row stays: that with the least doc_id, null ids last, and of several texts under that id the one with the least hash."""
     bound_batches(spark)
-    joined = stage(jaccard_join.join(docs, SHINGLE, PERCENT), "pipeline-groups")
-    goes = bounded(stage(joined.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_goes")).distinct(), "pipeline-drop"))
-    kept = docs.join(goes, docs.doc_id.eqNullSafe(goes._goes), "left_anti")
-    twice = joined.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_twice"))
-    twice = stage(twice, "pipeline-twice")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text_key(docs).alias("hash"))
+    joined = stage(jaccard_join.join(docs.select(key.alias("doc_id"), "text"), SHINGLE, PERCENT), "pipeline-groups")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = without(docs, joined.where(~stays).select("doc_id.id", "doc_id.hash"))
+    twice = stage(joined.where(stays).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id.id").alias("_id"), F.col("doc_id.hash").alias("_hash")), "pipeline-twice")
     if twice.isEmpty():
         return kept
     twice = bounded(twice)
-    on = kept.doc_id.eqNullSafe(twice._twice)
-    return kept.join(twice, on, "left_anti").unionByName(kept.join(twice, on, "left_semi").dropDuplicates(["doc_id", "text"]))
+    on = kept.doc_id.eqNullSafe(twice._id) & (text_key(kept) == twice._hash)
+    one = kept.join(twice, on, "left_semi").withColumn("_hash", text_key(kept)).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return kept.join(twice, on, "left_anti").unionByName(one)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

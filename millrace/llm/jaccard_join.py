@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .common import kept, let_go, stage
@@ -118,12 +119,15 @@ class Summary:
 
 def measured(docs: DataFrame, n: int) -> DataFrame:
     """Rows (doc_id, fp, n) of documents, and (token, count) of the tasks' summaries of frequent tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64())])
+    kind = docs.schema["doc_id"].dataType
+    doc_id = F.col("doc_id") if isinstance(kind, StructType) else F.col("doc_id").cast("bigint")
+    kind = kind.simpleString() if isinstance(kind, StructType) else "bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
-        summary = Summary()
+        summary, schema = Summary(), None
         for b in batches:
+            schema = schema or pa.schema([("doc_id", b.schema.field("doc_id").type), ("fp", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64())])
             fps, ns, seen = [], [], {}
             for s in sets(b.column("text").to_pylist(), n):
                 fps.append(fingerprint(s) if len(s) else None)
@@ -137,9 +141,9 @@ def measured(docs: DataFrame, n: int) -> DataFrame:
         hot = summary.counts > 2
         if hot.any():
             m = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(summary.tokens[hot].view(np.int64)), pa.array(summary.counts[hot])], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, schema.field("doc_id").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(summary.tokens[hot].view(np.int64)), pa.array(summary.counts[hot])], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint, n int, token bigint, count bigint")
+    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, n int, token bigint, count bigint")
 
 
 def hash_slices(docs: DataFrame, n: int, percent: int, slices: int, hot) -> DataFrame:
@@ -311,7 +315,7 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 
 
 def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) for each row of docs."""
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) for each row of docs. doc_id may be a struct, by which callers tell rows with repeated or null ids apart."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     seen = stage(measured(docs, n), "jaccard-sets")

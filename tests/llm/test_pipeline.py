@@ -35,3 +35,22 @@ def test_odd_rows(spark):
     empty = df.limit(0)
     for _, f in cp.STAGES:
         assert f(spark, empty, SF).count() == 0
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated and null ids, against brute force over the rows."""
+    common.bound_batches(spark)
+    base = [f"w{k}" for k in range(100)]
+    near = lambda k, w=base: " ".join(x if j != k else f"n{k}" for j, x in enumerate(w))
+    own = lambda k: " ".join(f"o{k}x{j}" for j in range(30))
+    other = [f"u{k}" for k in range(100)]
+    rows = [(1, near(1)), (2, near(2)), (2, own(0)), (3, own(1)), (3, own(2)), (None, near(3)), (None, own(3)), (None, own(4)), (None, own(4)), (5, near(1, other)), (5, near(2, other)),
+            (None, near(5, [x + "n" for x in other])), (None, near(6, [x + "n" for x in other])), (7, None), (7, ""), (8, ""), (None, ""), (None, None), (9, own(5)), (9, own(5)), (9, own(6))]
+    df = spark.createDataFrame([(i, t, "extra") for i, t in rows], "doc_id bigint, text string, fp string")
+    out = cp.near_duplicates(spark, df, SF)
+    assert out.columns == df.columns
+    hashes = {r.text: r.h for r in df.select("text", cp.text_key(df).alias("h")).collect()}
+    keys = sorted({(i is None, i or 0, hashes[t]) for i, t in rows})
+    ranked = [(keys.index((i is None, i or 0, hashes[t])), t) for i, t in rows]
+    stay = {i for i, _, c in brute.op5(ranked, cp.SHINGLE, cp.PERCENT) if i == c}
+    assert sorted((r.doc_id is None, r.doc_id or 0, hashes[r.text]) for r in out.collect()) == [keys[k] for k in sorted(stay)]
