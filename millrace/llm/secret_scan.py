@@ -130,6 +130,15 @@ def thresholds(histogram: list[tuple[int, int, int]], q: float = FDR) -> dict[in
     return out
 
 
+def rest(t: Column, base: Column) -> Column:
+    """Random spans: what the (sorted) base spans leave of a token."""
+    zero = F.struct(t["start"].alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
+    span = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end")))).otherwise(F.array()).cast(f"array<{SPAN}>")
+    cut = F.aggregate(base, zero, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], span(acc["at"], F.least(s["start"], t["end"]))).alias("out")),
+                      lambda acc: F.concat(acc["out"], span(acc["at"], t["end"])))
+    return F.when(F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), cut).otherwise(span(t["start"], t["end"]))
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts by kind and the arrays base and spans of (start, kind, end), sorted."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -141,8 +150,7 @@ def scan(docs: DataFrame) -> DataFrame:
     bins = rows.select(F.explode("tokens").alias("t")).groupBy(F.col("t.class").alias("c"), F.col("t.bin").alias("b")).count().collect()
     needed = thresholds([tuple(r) for r in bins])
     enough = lambda t: F.coalesce(*[F.when(t["class"] == c, t["bin"] >= b) for c, b in sorted(needed.items())], F.lit(False))
-    apart = lambda t: ~F.exists("base", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    extra = F.transform(F.filter("tokens", lambda t: t["random"] & enough(t) & apart(t)), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
+    extra = F.flatten(F.transform(F.filter("tokens", lambda t: t["random"] & enough(t)), lambda t: rest(t, F.array_sort("base"))))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.array_sort("base").alias("base"),
                        F.array_sort(F.concat("base", extra.cast(f"array<{SPAN}>"))).alias("spans"))
