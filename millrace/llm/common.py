@@ -65,12 +65,19 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of our own only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where that is unset, a folder of our own, but only if driver and executors are one process, as in tests."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", d)
+        context = spark.sparkContext
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _own:
+            _own[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        d = _own[context.applicationId]
     return d.rstrip("/")
 
 
@@ -81,12 +88,21 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table written once to the shared folder and read back: it cuts the lineage and outlives executors. Removed when the driver's Python ends."""
+    """The rows as a table written once to the shared folder and read back: it cuts the lineage and outlives executors. Removed by unstage, or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for t in tables:
+        if (path := getattr(t, "_staged_at", None)) is not None:
+            _remove(t.sparkSession, path)
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
@@ -98,15 +114,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def label_sample(labels: DataFrame, column: str, per_class: dict[int, int], seed: int) -> list[tuple[int, int]]:
-    """At most per_class[c] labelled doc_ids of each class, chosen by a hash of the id. Ids labelled both ways count for neither."""
-    one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy("doc_id").agg(F.min(column).alias("y"), F.max(column).alias("z")).where("y = z")
-    out: list[tuple[int, int]] = []
+def label_sample(labels: DataFrame, column: str, per_class: dict[int, int], seed: int) -> list[tuple[str, int]]:
+    """At most per_class[c] labelled doc_ids (as strings, whatever their type) of each class, chosen by a hash of the id. Ids labelled both ways count for neither."""
+    one = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull()).groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.min(column).alias("y"), F.max(column).alias("z")).where("y = z")
+    out: list[tuple[str, int]] = []
     for c, n in per_class.items():
-        out += [(r[0], c) for r in one.where(F.col("y") == c).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(n).collect()]
+        out += [(r[0], c) for r in one.where(F.col("y") == c).select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n).collect()]
     return out
 
 
+def sample_texts(docs: DataFrame, picked: list[tuple[str, int]]) -> DataFrame:
+    """id, y and text of the picked documents: one row an id, so that no more come than were picked. Of several texts under one id it is that with the least hash."""
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(picked, "id string, y int"))  # as many rows as the sample's bound
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(chosen, "id")
+    return texts.groupBy("id").agg(F.first("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("m")).select("id", "y", F.col("m.t").alias("text"))
+
+
 def class_share(labels: DataFrame, column: str) -> float:
     """Share of label 1 among all labels, held within 0.001 and 0.999."""
     r = labels.agg(F.avg(F.col(column).cast("double"))).first()[0]
@@ -120,3 +143,21 @@ BROADCAST_ROWS = 1_000_000
 def bounded(keys: DataFrame) -> DataFrame:
     """The (staged) keys, marked for broadcast if they are few enough."""
     return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+#: A key with more than 1 / HEAVY of all rows is heavy: at most HEAVY keys can be.
+HEAVY = 2000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows joined with values (one row a key) though single keys may hold a third of rows: the values of heavy keys, HEAVY at most, are broadcast, the others meet by a shuffle. Both sides are read twice, so they should be staged."""
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
+    total = counted.agg(F.sum("_c")).first()[0] or 0
+    if total <= HEAVY:
+        return rows.join(values, key, how)
+    heavy = [r[0] for r in counted.where(F.col("_c") > total / HEAVY).where(F.col(key).isNotNull()).select(key).collect()]
+    if not heavy:
+        return rows.join(values, key, how)
+    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in heavy], rows.select(key).schema))
+    often = rows.join(listed, key, "left_semi").join(F.broadcast(values.join(listed, key, "left_semi")), key, how)
+    return rows.join(listed, key, "left_anti").join(values.join(listed, key, "left_anti"), key, how).unionByName(often)
