@@ -168,31 +168,91 @@ def test_url_cases(spark):
     assert r["http://notexample.com/en/7"].rule == "com/en/" and r["http://com?/en/"].path == ""
 
 
-def held(spark, name, column, mod, rest):
-    lab = dict(duck("/root/testdata/sf0.01", f"select doc_id, {column} from labels")[1])
+def held(spark, name, column, mod, rest, sf="sf0.1", n=10_000):
+    """(predicted, label) of the held-out labelled rows."""
+    lab = dict(duck(f"/root/testdata/{sf}", f"select doc_id, {column} from labels")[1])
     common.bound_batches(spark)
-    rows = queries.QUERIES[name](spark, "/root/testdata/sf0.01").collect()
-    assert len(rows) == 1000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.crc(r.doc_id) % mod == rest) for r in rows)
-    own = [(r.predicted, lab[r.doc_id]) for r in rows if r.held_out and r.doc_id in lab]
-    return sum(a == b for a, b in own) / len(own)
+    rows = queries.QUERIES[name](spark, f"/root/testdata/{sf}").collect()
+    assert len(rows) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.crc(r.doc_id) % mod == rest) for r in rows)
+    return [(r.predicted, lab[r.doc_id]) for r in rows if r.held_out and r.doc_id in lab]
+
+
+def share(pairs, label):
+    own = [p for p, y in pairs if y == label]
+    return sum(own) / len(own)
 
 
 def test_toxicity(spark):
-    assert held(spark, "op7_toxicity", "toxic", 5, 0) >= 0.93
-    m = toxicity.train([toxicity.features(t) for t in ["you idiot", "an idiot here", "idiot", "nice day", "a fine day", "good words"] * 3], np.array([1, 1, 1, 0, 0, 0] * 3), 0.3)
-    df = odd(spark, [*ODD, "idiot"])
-    r = {x.text: x.s for x in toxicity.score(df, m, "s").collect()}
-    assert r["idiot"] > 0.5 > r[""] and r[None] == r[""] and toxicity.score(df.limit(0), m, "s").count() == 0
+    """Recall and false positives on rows that weren't learned from."""
+    own = held(spark, "op7_toxicity", "toxic", 5, 0)
+    assert share(own, 1) >= 0.9 and share(own, 0) <= 0.01
+
+
+def test_toxicity_cases(spark):
+    bad, good = ["you idiot", "an idiot here", "idiot", "big idiot"], ["nice day", "a fine day", "good words", "the weather"]
+    m = toxicity.train([toxicity.features(t) for t in (bad + good) * 3], np.array([1] * 4 + [0] * 4 + [1] * 4 + [0] * 4 + [1] * 4 + [0] * 4), 0.3)
+    df = odd(spark, [*ODD, "idiot", "IDIOT"])
+    r = {x.text: x.score for x in toxicity.score(df, m).collect()}  # a column named score is replaced
+    assert r["idiot"] == r["IDIOT"] > 0.5 > r[""] and r[None] == r[""] and toxicity.score(df.limit(0), m, "s").count() == 0
     none = toxicity.fit(df, spark.createDataFrame([], "doc_id bigint, toxic int"))
     assert 0 < none.scores([None])[0] < 1
-    a = toxicity.features("x" * 10 + " " + "abcdefgh" * 40_000)
-    assert set(toxicity.features("abcdefgh" * 9)[:5]) - set(a) == set() or len(a) > 0
+    # n-grams are of code points, none is lost between pieces, and their buckets are those of a plain loop
+    text = "Ünï日本x " * 30_000
+
+    def bucket(g):
+        h = 0
+        for c in g:
+            h = (h * int(toxicity.STEP) + ord(c) + 1) & 0xFFFFFFFF
+        h ^= h >> 15
+        h = h * int(toxicity.MIX) & 0xFFFFFFFF
+        return (h ^ h >> 13) >> 32 - toxicity.BUCKET_BITS
+
+    low = f" {text} ".lower()
+    assert set(toxicity.features(text).tolist()) == {bucket(low[k : k + n]) for n in toxicity.N_GRAMS for k in (*range(40), *range(len(low) - 20, len(low) - n + 1))}
+
+
+def test_toxicity_converges():
+    """The optimiser ends where the gradient is nothing, and the operating point keeps to its share of false positives."""
+    rng = np.random.default_rng(1)
+    a, b = rng.normal(size=(40, 6)), rng.normal(size=40)
+    f = lambda x: (float(((a @ x - b) ** 2).sum()), 2 * a.T @ (a @ x - b))
+    assert np.allclose(toxicity.minimise(f, np.zeros(6)), np.linalg.lstsq(a, b, rcond=None)[0], atol=1e-3)
+    y = rng.random(5000) < 0.2
+    z = rng.normal(size=5000) + 3 * y
+    t = toxicity.operating_point(z, y.astype(int), 0.01)
+    assert np.mean(z[~y] > t) <= 0.0101 and np.mean(z[y] > t) > 0.6
+
+
+def test_labelled_sample_is_bounded(spark):
+    """Repeated ids bring one text each; ids may be strings; ids labelled both ways count for neither."""
+    docs = spark.createDataFrame([(f"d{k % 5}", f"text {k}") for k in range(60)] + [(None, "x"), ("d1", None)], "doc_id string, text string")
+    labels = spark.createDataFrame([("d0", 1), ("d1", 0), ("d2", 1), ("d2", 0), (None, 1), ("d9", 1)], "doc_id string, toxic int")
+    picked = common.label_sample(labels, "toxic", {1: 9, 0: 9}, 1)
+    assert sorted(picked) == [("d0", 1), ("d1", 0), ("d9", 1)]
+    assert sorted((r.id, r.y) for r in common.sample_texts(docs, picked).collect()) == [("d0", 1), ("d1", 0)]
+    assert toxicity.score(docs, toxicity.fit(docs, labels)).count() == 62
+    assert zstd_quality.score(docs, zstd_quality.fit(docs, labels.withColumnRenamed("toxic", "quality"))).count() == 62
 
 
 def test_quality_classifier(spark):
-    assert held(spark, "op10_zstd_quality", "quality", 3, 1) >= 0.93
+    own = held(spark, "op10_zstd_quality", "quality", 3, 1)
+    assert share(own, 1) >= 0.98 and share(own, 0) <= 0.05
     none = zstd_quality.fit(odd(spark, ODD), spark.createDataFrame([], "doc_id bigint, quality int"))
-    assert {round(x.s, 3) for x in zstd_quality.score(odd(spark, ODD), none, "s").collect()} == {0.5}
+    assert {round(x.score, 3) for x in zstd_quality.score(odd(spark, ODD), none).collect()} == {0.5}  # a column named score is replaced
+    assert zstd_quality.score(odd(spark, ODD).limit(0), none).count() == 0
+
+
+def test_quality_score_is_of_the_difference():
+    """The score of a text follows from the two compressed sizes and its length alone, block by block."""
+    import zstandard
+
+    m = zstd_quality.Model(b"good words of plain prose " * 40, b"junk### words&&& of$$$ noise " * 40, (50.0, -1.0))
+    size = lambda raw, d: len(zstandard.ZstdCompressor(level=zstd_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw))
+    for text in ("plain prose of good words", "noise### junk&&&", "x" * 5000, "mixed good words. " * 300):
+        raw = text.encode()
+        cut = [raw[k : k + zstd_quality.BLOCK] for k in range(0, len(raw), zstd_quality.BLOCK)]
+        assert m.scorer()(text) == (sum(size(x, m.bad) for x in cut) - sum(size(x, m.good) for x in cut)) / len(raw)
+    assert m.scorer()(None) == m.scorer()("") == 0 and m.scorer()("plain prose of good words") > 0 > m.scorer()("words&&& of$$$ noise junk### words&&& of$$$")
 
 
 def test_quality_rules(spark, docs):
@@ -205,16 +265,73 @@ def test_quality_rules(spark, docs):
     assert quality_rules.judge(odd(spark, ODD).limit(0)).count() == 0
 
 
-def test_em_recovers_accuracies():
+def test_quality_rules_decide(spark):
+    """The posterior overrules the base rules on a sizeable share, and what it keeps agrees better with the labels, which it never sees."""
+    lab = dict(duck("/root/testdata/sf0.1", "select doc_id, quality from labels")[1])
+    common.bound_batches(spark)
+    rows = queries.op9_quality_rules(spark, "/root/testdata/sf0.1").collect()
+    own = [(r.kept, not r.base_failed, lab[r.doc_id] == 1) for r in rows if r.doc_id in lab]
+    assert sum(not r.kept and not r.base_failed for r in rows) >= 0.03 * len(rows)
+    assert sum(k == y for k, _, y in own) > 1.05 * sum(b == y for _, b, y in own)
+    left = [(k, y) for k, b, y in own if b]
+    assert share(left, True) >= 0.99 and share(left, False) <= 0.05
+
+
+def test_word_shapes():
+    text = "The cat, THE DOG!! sat| on. a&&& mat Élan ÉTÉ 日本 x1 ." * 3 + " " + "long" * 100_000 + " end."
+    words = brute.re.findall(brute.SPACE, text)
+    clean = [w for w in words if any(map(str.isalpha, w)) and all(c.isalpha() or c in ",;:\"'()-«».!?" for c in w)]
+    short = [w for w in clean if sum(map(str.isalpha, w)) <= 3]
+    capitals = [w for w in words if sum(map(str.isupper, w)) >= 2 and not any(map(str.islower, w))]
+    assert quality_rules.shapes(text).tolist() == [len(clean), len(short), len(capitals), sum(w[-1] in ".!?" for w in words)]
+
+
+def em(rows, families, rounds=500):
+    """Expectation-maximisation row by row, in plain Python."""
+    n, post, tables, s = len(rows), [(1 + sum(v == 2 for v in r)) / (2 + sum(v != 1 for v in r)) for r in rows], [], 0.0
+    cut = [sum(families[:k]) for k in range(len(families) + 1)]
+    for _ in range(rounds):
+        s = (sum(post) + quality_rules.PRIOR[0]) / (n + sum(quality_rules.PRIOR))
+        tables = []
+        for a, b in zip(cut, cut[1:]):
+            t = [brute.defaultdict(lambda: quality_rules.PSEUDO) for _ in (0, 1)]
+            for r, p in zip(rows, post):
+                t[1][r[a:b]] += p
+                t[0][r[a:b]] += 1 - p
+            tables.append([(x, n_ + 3 ** (b - a) * quality_rules.PSEUDO) for x, n_ in zip(t, (n - sum(post), sum(post)))])
+        old, post = post, []
+        for r in rows:
+            odds = s / (1 - s)
+            for (a, b), t in zip(zip(cut, cut[1:]), tables):
+                odds *= t[1][0][r[a:b]] / t[1][1] / (t[0][0][r[a:b]] / t[0][1])
+            post.append(odds / (1 + odds))
+        if max(abs(x - y) for x, y in zip(old, post)) < 1e-9:
+            break
+    return post, s
+
+
+def test_em_against_brute_force():
+    random.seed(4)
+    families, acc = [2, 1, 3], [0.9, 0.8, 0.95, 0.7, 0.85, 0.6]
+    truth = [random.random() < 0.8 for _ in range(300)]
+    rows = [tuple(1 if random.random() < 0.2 else 2 * (y == (random.random() < a)) for a in acc) for y in truth]
+    code = [int("".join(map(str, r)), 3) for r in rows]
+    post, tables, s = quality_rules.fit(dict(brute.Counter(code)), families)
+    want, want_share = em(rows, families)
+    assert max(abs(post[c] - p) for c, p in zip(code, want)) < 1e-6 and abs(s - want_share) < 1e-6
+    assert all(np.allclose(t.sum(1), 1) for t in tables) and sum((post[c] >= 0.5) == y for c, y in zip(code, truth)) > 0.9 * len(truth)
+
+
+def test_em_counts_a_family_once():
+    """A rule and its copy in one family say no more than the rule alone."""
     rng = np.random.default_rng(2)
     y = rng.random(20000) < 0.8
-    acc = [0.95, 0.9, 0.85, 0.6]
-    votes = np.stack([np.where(rng.random(len(y)) < a, y, ~y) * 2 for a in acc], 1)
-    votes[rng.random(votes.shape) < 0.2] = 1
-    code = votes @ 3 ** np.arange(3, -1, -1)
-    post, table = quality_rules.fit(dict(zip(*np.unique(code, return_counts=True))), 4)
-    assert np.mean((post[code] >= 0.5) == y) > 0.93
-    assert abs(table[0, 1, 2] / (1 - table[0, 1, 1]) - 0.95) < 0.03 and table[3, 1, 2] < table[0, 1, 2]
+    v = [np.where(rng.random(len(y)) < a, y, ~y) * 2 for a in (0.9, 0.85, 0.8)]
+    one = dict(zip(*np.unique((v[0] * 3 + v[1]) * 3 + v[2], return_counts=True)))
+    two = dict(zip(*np.unique(((v[0] * 3 + v[0]) * 3 + v[1]) * 3 + v[2], return_counts=True)))
+    p1, _, _ = quality_rules.fit(one, [1, 1, 1])
+    p2, _, _ = quality_rules.fit(two, [2, 1, 1])
+    assert all(abs(p1[(a * 3 + b) * 3 + c] - p2[((a * 3 + a) * 3 + b) * 3 + c]) < 0.01 for a in (0, 2) for b in (0, 2) for c in (0, 2))
 
 
 def test_decontaminate_query(spark, docs):
