@@ -146,18 +146,26 @@ def bounded(keys: DataFrame) -> DataFrame:
 
 
 #: A key with more than 1 / HEAVY of all rows is heavy: at most HEAVY keys can be.
-HEAVY = 2000
+HEAVY = 1000
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows joined with values (one row a key) though single keys may hold a third of rows: the values of heavy keys, HEAVY at most, are broadcast, the others meet by a shuffle. Both sides are read twice, so they should be staged."""
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c"))
-    total = counted.agg(F.sum("_c")).first()[0] or 0
-    if total <= HEAVY:
+def spread_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", heavy: int = HEAVY, many: bool = False) -> DataFrame:
+    """rows joined with values though single keys may hold a third of rows: the values of heavy keys are broadcast, the others meet by a shuffle.
+
+    values has one row a key, so what is broadcast is HEAVY rows at most; with many=True it may have more, and a key whose values are over 1 / heavy of all of them isn't broadcast but
+    left to the shuffle. Both sides are read several times, so they should be staged or cheap.
+    """
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col(key).isNotNull())
+    total = rows.count()
+    if total <= 10 * heavy:
         return rows.join(values, key, how)
-    heavy = [r[0] for r in counted.where(F.col("_c") > total / HEAVY).where(F.col(key).isNotNull()).select(key).collect()]
-    if not heavy:
+    listed = counted.where(F.col("_c") > total / heavy).select(key)
+    if many:
+        most = values.count() / heavy
+        listed = listed.join(values.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") > most), key, "left_anti")
+    keys = listed.collect()
+    if not keys:
         return rows.join(values, key, how)
-    listed = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in heavy], rows.select(key).schema))
-    often = rows.join(listed, key, "left_semi").join(F.broadcast(values.join(listed, key, "left_semi")), key, how)
-    return rows.join(listed, key, "left_anti").join(values.join(listed, key, "left_anti"), key, how).unionByName(often)
+    often = F.broadcast(rows.sparkSession.createDataFrame([tuple(k) for k in keys], rows.select(key).schema))
+    there = rows.join(often, key, "left_semi").join(F.broadcast(values.join(often, key, "left_semi")), key, how)
+    return rows.join(often, key, "left_anti").join(values.join(often, key, "left_anti"), key, how).unionByName(there)

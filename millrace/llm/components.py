@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stage
+from .common import spread_join, stage, unstage
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v). Each node's least neighbour takes over its neighbours: the larger ones (large), or the smaller ones and itself."""
+    """edges (u, v). Each node's least neighbour takes over its neighbours: the larger ones (large), or the smaller ones and itself. A hub's edges aren't dealt to one task."""
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    joined = both.join(least, "u")
+    joined = spread_join(both, least, "u")
     out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 
@@ -24,7 +24,9 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = stage(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "components")
     last = None
     for _ in range(max_rounds):
-        edges = stage(_star(_star(edges, True), False), "components")
+        old, half = edges, stage(_star(edges, True), "components")
+        edges = stage(_star(half, False), "components")
+        unstage(old, half)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.xxhash64("v", "u", F.lit(1)).cast("decimal(38,0)"))).first()
         if now == last:
             break

@@ -1,14 +1,20 @@
-"""N-gram Jaccard join (operator 5): a grouped prefix join, exact, ending in connected components.
+"""N-gram Jaccard join (operator 5): a grouped prefix join, exact.
 
-A document's set is its distinct word shingles, as 64-bit hashes; without words it is empty and links with nothing. Documents with equal sets are one set (its
-fingerprint). Tokens are put in one global order, the rarest first: they are counted over all sets, in slices of the hash range that travel as packed arrays; those that
-summaries over all rows call frequent come last, uncounted, so that no slice has a token of very many sets. Two sets with Jaccard >= percent / 100 share a token of their prefixes. Sets with identical prefixes and size are one
-group; groups that share a prefix token are paired, then their members are expanded and verified on the whole sets.
+A document's set is its distinct word shingles, as 64-bit hashes; without words it is empty and links with nothing. Documents with equal sets are one set, told by a
+fingerprint of 128 bits: 64 of them are the set's key, and keys that two different sets share (CLASH) are replaced by the other half.
 
-Only connectivity is asked for, so pairs aren't all made: first each list's most typical set is verified against the others, then, only in lists that
-still hold more than one component, all pairs across components. No list or candidate is cut, so no link that joins two components is lost.
-What is broadcast: the HOT_MAX most frequent tokens at most. Null and empty texts, repeated rows and ids, empty tables: each row gets a result, and a row without
-words is its own component.
+One global order of the tokens. Tokens that summaries over all rows call frequent come last, by hash. The others are halved by their hash; within a half the rarer come first, counted
+exactly by Spark's own exchange. A set sends the first half only, unless its prefix is longer: which halves a set needs follows from the set alone, and a token's count is
+taken over the sets that sent it, so the order is the same for all. Two sets with Jaccard >= percent / 100 share a token of their prefixes. A token that one set alone has sent pairs
+nobody, but counts for the places of the others.
+
+Sets with identical prefixes and size are one group. Groups that share a prefix token are paired, pairs are filtered by size and by the token's places, and only what is left is expanded to
+members, which are verified on the whole sets. links() gives all pairs of different sets that link. join() asks for connectivity: first each list's most typical group
+is verified against the others, and each group's most typical member against the others; then, only in lists that still hold more than one component, groups of
+different components are paired. No list, group or candidate is cut, so no link that joins two components is lost.
+
+Everything grows linearly but for the pairs that have to be verified. What is broadcast: the HOT_MAX most frequent tokens at most, and of heavy keys (common.spread_join) one row each. Null and empty
+texts, repeated rows, repeated and null ids, empty tables: each row gets a result, and a row without words is its own component. doc_id may have any type with an order.
 """
 
 from __future__ import annotations
@@ -17,16 +23,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import kept, let_go, stage
+from .common import kept, let_go, spread_join, stage, unstage
 from .components import connected
 
 SUMMARY, HOT_MIN, HOT_MAX, CHUNK = 40_000, 50, 500_000, 1 << 20
-#: Tokens that one task counts at a time, about.
-SLICE = 2_000_000
+#: Of keys whose value is a whole set, so many are broadcast at most.
+HEAVY_SETS = 100
 LOWER = np.arange(256, dtype=np.uint64)
 LOWER[65:91] += np.uint64(32)
 SPACE = np.zeros(256, bool)
@@ -117,52 +121,66 @@ class Summary:
         self.tokens, self.counts = both, counts
 
 
-def measured(docs: DataFrame, n: int) -> DataFrame:
-    """Rows (doc_id, fp, n) of documents, and (token, count) of the tasks' summaries of frequent tokens."""
-    kind = docs.schema["doc_id"].dataType
-    doc_id = F.col("doc_id") if isinstance(kind, StructType) else F.col("doc_id").cast("bigint")
-    kind = kind.simpleString() if isinstance(kind, StructType) else "bigint"
+def key_of(s: np.ndarray, mask: int, clash: frozenset[int]) -> int:
+    """The set's key: half of its fingerprint, or the other half where two sets share the first."""
+    k = fingerprint(s) & mask
+    return fingerprint(s, 1) if k in clash else k
+
+
+def measured(docs: DataFrame, n: int, mask: int) -> DataFrame:
+    """Rows (doc_id, fp, other, n, text_hash) of documents, and (token, count) of the tasks' summaries of frequent tokens."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         summary, schema = Summary(), None
         for b in batches:
-            schema = schema or pa.schema([("doc_id", b.schema.field("doc_id").type), ("fp", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64())])
-            fps, ns, seen = [], [], {}
+            schema = schema or pa.schema([("doc_id", b.schema.field("doc_id").type), ("text_hash", pa.int64()), ("fp", pa.int64()), ("other", pa.int64()), ("n", pa.int32()), ("token", pa.int64()), ("count", pa.int64())])
+            fps, others, ns, seen = [], [], [], {}
             for s in sets(b.column("text").to_pylist(), n):
-                fps.append(fingerprint(s) if len(s) else None)
+                fps.append(fingerprint(s) & mask if len(s) else None)
+                others.append(fingerprint(s, 1) if len(s) else None)
                 ns.append(len(s))
                 if len(s):
-                    seen[fps[-1]] = s
+                    seen[others[-1]] = s
             if seen:
                 summary.add(np.concatenate(list(seen.values())))
             none = pa.nulls(b.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64()), pa.array(ns, pa.int32()), none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fps, pa.int64()), pa.array(others, pa.int64()), pa.array(ns, pa.int32()), none, none], schema=schema)
         hot = summary.counts > 2
         if hot.any():
             m = int(hot.sum())
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, schema.field("doc_id").type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(summary.tokens[hot].view(np.int64)), pa.array(summary.counts[hot])], schema=schema)
+            none = pa.nulls(m, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, schema.field("doc_id").type), none, none, none, pa.nulls(m, pa.int32()), pa.array(summary.tokens[hot].view(np.int64)), pa.array(summary.counts[hot])], schema=schema)
+
+    rows = docs.select("doc_id", text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash bigint, fp bigint, other bigint, n int, token bigint, count bigint")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
 
-    return docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint, n int, token bigint, count bigint")
+def prefix_length(n, percent: int):
+    return n - (percent * n + 99) // 100 + 1
 
 
-def hash_slices(docs: DataFrame, n: int, percent: int, slices: int, hot) -> DataFrame:
-    """The sets of each batch of documents, cut by token: one row for each slice of the tokens' hash range.
+def sent_tokens(docs: DataFrame, n: int, percent: int, mask: int, clash: frozenset[int], hot) -> DataFrame:
+    """Rows (tok, fp, a, b) of each batch's different sets, in three kinds.
 
-    sets: fingerprints, with in runs how many of toks (32 bits of the hash) each has. Frequent tokens aren't sent: they are last in the global order, so only those that still
-    belong to a prefix (late_key of late_set) are. sizes: (fingerprint, size), sent to the fingerprint's own slice.
+    b null: tok is a token that isn't frequent, of the first half, or of both if the prefix reaches into the second. b >= 0: about the set, tok is its own;
+    a holds its size and, in the low 32 bits, its tokens in the first half, b those sent of the second. b < 0: a is a frequent token that belongs to the prefix, -b - 1 its place, tok is of no meaning.
     """
-    names = ("sets", "runs", "toks", "late_key", "late_set", "size_set", "sizes")
-    schema = pa.schema([("slice", pa.int32()), *((x, pa.binary()) for x in names)])
+    schema = pa.schema([("tok", pa.int64()), ("fp", pa.int64()), ("a", pa.int64()), ("b", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         common = np.frombuffer(hot.value, np.uint64)
-        for b in batches:
+        for batch in batches:
             fps, all_sets = [], []
             seen: set[int] = set()
-            for s in sets(b.column("text").to_pylist(), n):
-                if len(s) and (fp := fingerprint(s)) not in seen:
+            for s in sets(batch.column("text").to_pylist(), n):
+                if len(s) and (fp := key_of(s, mask, clash)) not in seen:
                     seen.add(fp)
                     fps.append(fp)
                     all_sets.append(s)
@@ -172,123 +190,62 @@ def hash_slices(docs: DataFrame, n: int, percent: int, slices: int, hot) -> Data
             tok, doc = np.concatenate(all_sets), np.repeat(np.arange(len(fp)), size)
             at = np.searchsorted(common, tok)
             often = common[np.minimum(at, len(common) - 1)] == tok if len(common) else np.zeros(len(tok), bool)
-            # of each set's frequent tokens, which are in order, those that its prefix has room for
-            late = np.flatnonzero(often)
+            second = (tok >> np.uint64(63)).astype(bool)
+            need = prefix_length(size, percent)
             rare = np.bincount(doc[~often], minlength=len(fp))
-            room = size - (percent * size + 99) // 100 + 1 - rare
-            first = np.searchsorted(doc[late], np.arange(len(fp)))
-            late = late[np.arange(len(late)) - first[doc[late]] < room[doc[late]]]
-            tok, doc, late_key, late_set = tok[~often], doc[~often], tok[late], fp[doc[late]]
-            of = lambda t: ((t >> np.uint64(32)) % np.uint64(slices)).astype(np.uint16)
-            cut = of(tok)
-            order = np.argsort(cut, kind="stable")
-            cut, doc, tok32 = cut[order], doc[order], tok[order].astype(np.uint32)
-            start = np.flatnonzero(np.concatenate([[True], (cut[1:] != cut[:-1]) | (doc[1:] != doc[:-1])])) if len(cut) else np.zeros(0, int)
-            length = np.diff(np.append(start, len(cut))).astype(np.uint32)
-            edges, run_edges = np.searchsorted(cut, np.arange(slices + 1)), np.searchsorted(cut[start], np.arange(slices + 1))
-            late_cut, own = of(late_key), (fp.view(np.uint64) % np.uint64(slices)).astype(np.uint16)
-            rows = []
-            for k in range(slices):
-                i, j = run_edges[k], run_edges[k + 1]
-                x, y = late_cut == k, own == k
-                rows.append((fp[doc[start[i:j]]].tobytes(), length[i:j].tobytes(), tok32[edges[k] : edges[k + 1]].tobytes(), late_key[x].tobytes(), late_set[x].tobytes(), fp[y].tobytes(), size[y].astype(np.int32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices, dtype=np.int32)), *(pa.array(c, pa.binary()) for c in zip(*rows))], schema=schema)
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "slice int, " + ", ".join(f"{x} binary" for x in names))
-
-
-def joined(column: pa.ChunkedArray, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
-
-
-def counted(sliced: DataFrame, shards: int) -> DataFrame:
-    """Within a slice: in how many sets each token is. Goes back by set (shards of fingerprints): how many tokens it has that no other set has, and its others with their counts."""
-    names = ("sets", "alone", "many", "keys", "dfs", "late_key", "late_set", "size_set", "sizes")
-    schema = pa.schema([("shard", pa.int32()), *((x, pa.binary()) for x in names)])
-
-    def count(key, table):
-        let_go()
-        fp, length, tok = joined(table["sets"], np.int64), joined(table["runs"], np.uint32).astype(np.int64), joined(table["toks"], np.uint32)
-        fps, first = np.unique(fp, return_index=True)  # a set that several batches have counts once
-        keep = np.zeros(len(fp), bool)
-        keep[first] = True
-        tok, run = tok[np.repeat(keep, length)], length[keep]
-        owner = np.repeat(np.searchsorted(fps, fp[keep]), run)
-        order = np.argsort(tok, kind="stable")
-        t = tok[order]
-        start = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
-        df = np.zeros(len(tok), np.int64)
-        df[order] = np.repeat(np.diff(np.append(start, len(t))), np.diff(np.append(start, len(t))))
-        alone = np.bincount(owner[df == 1], minlength=len(fps)).astype(np.uint32)
-        with_others = df > 1
-        by = np.argsort(owner[with_others], kind="stable")
-        of_set = owner[with_others][by]
-        keys = (np.uint64(key[0].as_py()) << np.uint64(32)) | tok[with_others][by].astype(np.uint64)
-        dfs = df[with_others][by].astype(np.uint32)
-        many = np.bincount(of_set, minlength=len(fps)).astype(np.uint32)
-        late_key, late_set, size_set, sizes = (joined(table[c], k) for c, k in (("late_key", np.uint64), ("late_set", np.int64), ("size_set", np.int64), ("sizes", np.int32)))
-        of = lambda x: (mix(x.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-        a, b, c = of(fps), of(late_set), of(size_set)
-        rows = []
-        for k in range(shards):
-            x, y, z = a == k, b == k, c == k
-            m = x[of_set] if len(of_set) else np.zeros(0, bool)
-            rows.append((fps[x].tobytes(), alone[x].tobytes(), many[x].tobytes(), keys[m].tobytes(), dfs[m].tobytes(), late_key[y].tobytes(), late_set[y].tobytes(), size_set[z].tobytes(), sizes[z].tobytes()))
-        return pa.Table.from_arrays([pa.array(np.arange(shards, dtype=np.int32)), *(pa.array(col, pa.binary()) for col in zip(*rows))], schema=schema)
-
-    return sliced.groupBy("slice").applyInArrow(count, "shard int, " + ", ".join(f"{x} binary" for x in names))
-
-
-def prefixes(sharded: DataFrame, percent: int) -> DataFrame:
-    """Rows (key, kind, val, n, u). kind 0: key is a token of the prefix of group val. u: the token's place in the order of the set. kind 1: key is a group, val one of its sets, u how many of its tokens no other set has.
-
-    Tokens of one set only are first in the order, then the rarer ones, then by hash. They pair nobody: a set whose prefix they fill is left out. Groups: sets with equal prefixes and sizes.
-    """
-    schema = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("val", pa.int64()), ("n", pa.int32()), ("u", pa.int32())])
-
-    def choose(key, table):
-        let_go()
-        fp, first = np.unique(joined(table["size_set"], np.int64), return_index=True)
-        n = joined(table["sizes"], np.int32)[first].astype(np.int64)
-        at = lambda x: np.searchsorted(fp, x)
-        part = at(joined(table["sets"], np.int64))
-        alone = np.bincount(part, joined(table["alone"], np.uint32), len(fp)).astype(np.int64)
-        keys, dfs = joined(table["keys"], np.uint64), joined(table["dfs"], np.uint32)
-        owner = np.repeat(part, joined(table["many"], np.uint32).astype(np.int64))
-        room = n - (percent * n + 99) // 100 + 1 - alone
-        live = room[owner] > 0
-        keys, dfs, owner = keys[live], dfs[live], owner[live]
-        order = np.lexsort((keys, dfs, owner))
-        keys, owner = keys[order], owner[order]
-        place = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(fp)))[owner]
-        take = place < room[owner]
-        pair = np.unique(np.stack([at(joined(table["late_set"], np.int64)).astype(np.uint64), joined(table["late_key"], np.uint64)]), axis=1)
-        late_owner, late_key = pair[0].astype(np.int64), mix(pair[1])
-        late_place = np.arange(len(late_owner)) - np.searchsorted(late_owner, np.arange(len(fp)))[late_owner]
-        rare = np.bincount(part, joined(table["alone"], np.uint32).astype(np.int64) + joined(table["many"], np.uint32), len(fp)).astype(np.int64)
-        place = np.concatenate([(alone[owner] + place)[take], rare[late_owner] + late_place])
-        keys, owner = np.concatenate([mix(keys[take] + np.uint64(1)), late_key]), np.concatenate([owner[take], late_owner])
-        sums = np.zeros(len(fp), np.uint64)
-        np.add.at(sums, owner, mix(keys))
-        there = np.bincount(owner, minlength=len(fp)) > 0
-        group = np.where(alone == 0, mix(sums + n.astype(np.uint64) * MIX1).view(np.int64), fp)
-        ids = np.flatnonzero(there)
-        i32 = lambda x: pa.array(np.asarray(x, np.int32))
-        return pa.Table.from_arrays([pa.array(np.concatenate([keys.view(np.int64), group[ids]])), i32([0] * len(keys) + [1] * len(ids)), pa.array(np.concatenate([group[owner], fp[ids]])), i32(np.concatenate([n[owner], n[ids]])), i32(np.concatenate([place, alone[ids]]))], schema=schema)
-
-    return sharded.groupBy("shard").applyInArrow(choose, "key bigint, kind int, val bigint, n int, u int")
-
-
-def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """fp and tokens (all hashes of the set)."""
+            first = np.bincount(doc[~often & ~second], minlength=len(fp))
+            reach = first < need
+            late = np.flatnonzero(often)
+            place = rare[doc[late]] + np.arange(len(late)) - np.searchsorted(doc[late], np.arange(len(fp)))[doc[late]]
+            late, place = late[place < need[doc[late]]], place[place < need[doc[late]]]
+            send = ~often & (~second | reach[doc])
+            toks = np.concatenate([tok[send], mix(fp.view(np.uint64) + MIX2), mix(tok[late] ^ mix(fp[doc[late]].view(np.uint64)))])
+            k, m = int(send.sum()), len(fp)
+            a = np.concatenate([np.zeros(k, np.int64), size.astype(np.int64) << 32 | first, tok[late].view(np.int64)])
+            b = np.concatenate([np.zeros(k, np.int32), np.where(reach, rare - first, 0).astype(np.int32), (-1 - place).astype(np.int32)])
+            none = np.arange(len(a)) < k
+            yield pa.RecordBatch.from_arrays([pa.array(toks.view(np.int64)), pa.array(np.concatenate([fp[doc[send]], fp, fp[doc[late]]])), pa.array(a, mask=none), pa.array(b, mask=none)], schema=schema)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "tok bigint, fp bigint, a bigint, b int")
+
+
+def prefixes(sent: DataFrame, percent: int) -> DataFrame:
+    """Rows (key, fp, g, n, place, u): token key is at that place of the set's order, within its prefix, and another set has sent it, too. g: the group. u: how many tokens the set alone has sent."""
+    by_token = Window.partitionBy("tok")
+    new = F.coalesce(F.lag("fp").over(by_token.orderBy("fp")) != F.col("fp"), F.lit(True))  # a set that several batches have counts once
+    once = sent.withColumn("_new", new).withColumn("df", F.sum(F.col("_new").cast("int")).over(by_token)).where(F.col("_new") & (F.col("b").isNotNull() | (F.col("df") > 1)))
+    by_set = Window.partitionBy("fp")
+    token, second = F.col("b").isNull(), F.shiftrightunsigned("tok", 63) == 1
+    about = F.max(F.when(F.col("b") >= 0, F.struct("a", "b"))).over(by_set)
+    ranked = once.select(
+        "tok", "fp", "a", "b", second.alias("second"), about.alias("about"),
+        F.sum(F.when(token & ~second, 1).otherwise(0)).over(by_set).alias("many1"), F.sum(F.when(token & second, 1).otherwise(0)).over(by_set).alias("many2"),
+        F.row_number().over(by_set.orderBy(F.when(token, second.cast("int")).otherwise(2), "df", "tok")).alias("rank"))
+    n, first = F.shiftright("about.a", 32).cast("int"), F.col("about.a").bitwiseAND(0xFFFFFFFF).cast("int")
+    alone1, alone2 = first - F.col("many1"), F.col("about.b") - F.col("many2")
+    place = F.when(F.col("b") < 0, -1 - F.col("b")).when(F.col("second"), first + alone2 + F.col("rank") - 1 - F.col("many1")).otherwise(alone1 + F.col("rank") - 1)
+    need = n - F.floor((n * percent + 99) / 100).cast("int") + 1
+    alone_in_prefix = (alone1 > 0) | ((need > first) & (alone2 > 0))
+    got = ranked.where("b is null or b < 0").select(F.when(F.col("b") < 0, F.col("a")).otherwise(F.col("tok")).alias("key"), "fp", n.alias("n"), place.cast("int").alias("place"),
+                                                  (alone1 + alone2).cast("int").alias("u"), need.alias("need"), alone_in_prefix.alias("own")).where("place < need")
+    x = lambda seed: F.bit_xor(F.xxhash64("key", F.lit(seed))).over(by_set)
+    return got.select("key", "fp", F.when(F.col("own"), F.col("fp")).otherwise(F.xxhash64("n", x(1), x(2))).alias("g"), "n", "place", "u")
+
+
+def whole_sets(docs: DataFrame, n: int, mask: int, clash: frozenset[int]) -> DataFrame:
+    """fp and tokens (all hashes of the set), once for each batch."""
     schema = pa.schema([("fp", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         let_go()
         for b in batches:
             fps, got, size = [], [], 0
+            done: set[int] = set()
             for s in sets(b.column("text").to_pylist(), n):
-                fps.append(fingerprint(s))
+                if not len(s) or (fp := key_of(s, mask, clash)) in done:
+                    continue
+                done.add(fp)
+                fps.append(fp)
                 got.append(s.view(np.int64))
                 size += len(s)
                 if size > CHUNK:
@@ -300,7 +257,7 @@ def whole_sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp bigint, tokens array<bigint>")
 
 
-def may_link(percent: int, na: str, ma: str, nb: str, mb: str):
+def may_link(percent: int, na: str, ma: str, nb: str, mb: str) -> Column:
     """Size and place filter: n is a set's size, m how many of its tokens are from the list's token on. If that is the first token that two sets share, no more than
     the lesser m can be common, and the rest of both is in the union; if it isn't, they meet in the list of the first, too."""
     common = F.least(ma, mb)
@@ -308,50 +265,124 @@ def may_link(percent: int, na: str, ma: str, nb: str, mb: str):
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets link."""
+    """Pairs (u, v) of the (staged) pairs (a, b) whose whole sets link."""
     a, b = tokens.select(F.col("fp").alias("a"), F.col("tokens").alias("ta")), tokens.select(F.col("fp").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
+    left = spread_join(pairs, a, "a", heavy=HEAVY_SETS)
+    both = left.join(b, "b").select("a", "b", F.size(F.array_intersect("ta", "tb")).alias("i"), F.size("ta").alias("na"), F.size("tb").alias("nb"))
     return both.where(F.lit(100) * F.col("i") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("i"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) for each row of docs. doc_id may be a struct, by which callers tell rows with repeated or null ids apart."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    seen = stage(measured(docs, n), "jaccard-sets")
-    rows = seen.where("token is null")
-    frequent = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= HOT_MIN).orderBy(F.col("c").desc(), "token").limit(HOT_MAX)
-    hot = spark.sparkContext.broadcast(np.sort(np.array(frequent.select("token").toArrow().column("token").to_numpy(), np.int64).view(np.uint64)).tobytes())
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    slices = min(65_000, max(64, -(-total // SLICE)))
-    sharded = stage(counted(hash_slices(docs, n, percent, slices, hot), slices), "jaccard-counts")
-    dealt = prefixes(sharded, percent).repartition(F.col("key")).dropDuplicates(["key", "kind", "val"])
-    lists = stage(dealt.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key", "kind"))).where("kind = 1 or c > 1"), "jaccard-lists")
-    members = lists.where("kind = 1").select(F.col("key").alias("g"), F.col("val").alias("fp"), "n", "u", "c")
-    shared = lists.where("kind = 0").select("key", F.col("val").alias("g"), F.col("u").alias("place")).join(members.drop("c"), "g").select("key", "fp", "n", "u", (F.col("n") - F.col("place")).alias("m"))
-    places = stage(shared.unionByName(members.where("c > 1").select(F.col("g").alias("key"), "fp", "n", "u", F.col("n").alias("m"))), "jaccard-places")
-    reps = rows.where("n > 0").join(places.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    tokens = stage(whole_sets(docs.join(reps, docs.doc_id.eqNullSafe(reps.doc_id), "left_semi"), n).dropDuplicates(["fp"]), "jaccard-tokens")
-
-    pivot = places.groupBy("key").agg(F.min(F.struct("u", "fp", "n", "m")).alias("p"))
-    first = places.join(pivot, "key").select(F.least("fp", F.col("p.fp")).alias("a"), F.greatest("fp", F.col("p.fp")).alias("b"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("p.n").alias("nb"), F.col("p.m").alias("mb")).where((F.col("a") != F.col("b")) & may_link(percent, "na", "ma", "nb", "mb"))
-    tried = stage(first.select("a", "b").distinct(), "jaccard-pairs")
-    links = stage(verified(tried, tokens, percent), "jaccard-links")
-    parts = connected(links)
-    at = places.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    open_keys = at.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    left = stage(at.join(open_keys, "key", "left_semi"), "jaccard-open")
-    # pairs of components of a list first, then their members: what is joined is what has to be verified, not the list's square
-    inside = left.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("m").alias("m"))
-    side = lambda c: inside.select("key", F.col("component").alias(f"c{c}"), F.col("n").alias(f"cn{c}"), F.col("m").alias(f"cm{c}"))
+class Candidates:
+    """The sets of docs and their lists. rows: (doc_id, fp, n) of each document. sets: (fp, least doc_id) of each different set. lists: (key, g, n, place, m, u) of each group in each list that
+    more than one group is in. members: (g, fp, n, u) of groups in lists, or with more than one member. tokens: the whole sets of members."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int, bits: int = 64):
+        spark, mask = docs.sparkSession, -1 if bits == 64 else (1 << bits) - 1
+        docs = docs.select("doc_id", "text")
+        self.percent = percent
+        seen = stage(measured(docs, n, mask), "jaccard-rows")
+        frequent = seen.where("token is not null").groupBy("token").agg(F.sum("count").alias("c")).where(F.col("c") >= HOT_MIN).orderBy(F.col("c").desc(), "token").limit(HOT_MAX)
+        hot = spark.sparkContext.broadcast(np.sort(np.array(frequent.select("token").toArrow().column("token").to_numpy(), np.int64).view(np.uint64)).tobytes())
+        rows = seen.where("token is null").select("doc_id", "text_hash", "fp", "other", "n")
+        self.staged = [seen]
+        one = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), F.min(F.struct("other", "n")).alias("lo"), F.max(F.struct("other", "n")).alias("hi"))
+        sets_ = stage(one.select("fp", "least", "text_hash", (F.col("lo") != F.col("hi")).alias("clash")), "jaccard-sets")
+        clash = frozenset(r[0] for r in sets_.where("clash").select("fp").collect())  # of 10^10 sets about three
+        if clash:
+            unstage(sets_)
+            rows = stage(rows.withColumn("fp", F.when(F.col("fp").isin(*clash) if len(clash) < 100 else F.col("fp").isin(list(clash)), F.col("other")).otherwise(F.col("fp"))), "jaccard-rows")
+            sets_ = stage(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "jaccard-sets")
+            self.staged.append(rows)
+        self.rows, self.sets = rows.select("doc_id", "fp", "n"), sets_
+        held = stage(prefixes(sent_tokens(docs, n, percent, mask, clash, hot), percent), "jaccard-prefixes")
+        self.members = stage(held.groupBy("g", "fp").agg(F.first("n").alias("n"), F.first("u").alias("u")), "jaccard-members")
+        in_lists = held.groupBy("key", "g", "n", "place").agg(F.min("u").alias("u"))
+        self.lists = stage(in_lists.withColumn("m", F.col("n") - F.col("place")), "jaccard-lists")
+        unstage(held)
+        texts = stage(self.sets.join(self.members.select("fp").distinct(), "fp", "left_semi").select("text_hash").distinct(), "jaccard-texts")
+        whole = spread_join(docs.select("text", text_hash().alias("text_hash")), texts, "text_hash", "left_semi")
+        self.tokens = stage(whole_sets(whole, n, mask, clash).dropDuplicates(["fp"]), "jaccard-tokens")
+        unstage(texts)
+        self.staged += [sets_, self.members, self.lists, self.tokens]
+
+    def reps(self) -> DataFrame:
+        """Each group's most typical member."""
+        return self.members.groupBy("g").agg(F.min(F.struct("u", "fp")).alias("r"), F.count(F.lit(1)).alias("c")).select("g", F.col("r.fp").alias("rep"), "c")
+
+    def close(self) -> None:
+        unstage(*self.staged)
+
+
+def ordered(pairs: DataFrame, x: str, y: str) -> DataFrame:
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).where("a != b")
+
+
+def links(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """All links: (doc_id, set) of each row of docs with words, and (u, v, u < v) of all pairs of different sets that link. Rows of one set link with each other, too."""
+    c = Candidates(docs, n, percent, bits)
+    side = lambda x: c.lists.select("key", *(F.col(k).alias(f"{k}{x}") for k in ("g", "n", "m")))
+    pairs = side("a").join(side("b"), "key").where((F.col("ga") < F.col("gb")) & may_link(percent, "na", "ma", "nb", "mb")).select("ga", "gb").distinct()
+    of = lambda x: c.members.select(F.col("g").alias(f"g{x}"), F.col("fp").alias(x))
+    across = ordered(pairs.join(of("a"), "ga").join(of("b"), "gb"), "a", "b")
+    inside = ordered(c.members.select("g", F.col("fp").alias("a")).join(c.members.select("g", F.col("fp").alias("b")), "g").where("a < b"), "a", "b")
+    tried = stage(across.unionByName(inside).distinct(), "jaccard-pairs")
+    return c.rows.where("n > 0").select("doc_id", F.col("fp").alias("set")), verified(tried, c.tokens, percent)
+
+
+def degrees(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
+    """doc_id and n_links: how many other rows each row with words links with, copies included. One result row per input row with words."""
+    rows, pairs = links(docs, n, percent, bits)
+    rows, pairs = stage(rows, "jaccard-rows"), stage(pairs, "jaccard-links")
+    size = stage(rows.groupBy("set").agg(F.count(F.lit(1)).alias("copies")), "jaccard-sizes")
+    both = pairs.select(F.col("u").alias("set"), F.col("v").alias("o")).unionByName(pairs.select(F.col("v").alias("set"), F.col("u").alias("o")))
+    others = both.join(size.select(F.col("set").alias("o"), "copies"), "o").groupBy("set").agg(F.sum("copies").alias("others"))
+    per = stage(size.join(others, "set", "left").select("set", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "jaccard-degrees")
+    return spread_join(rows, per, "set").select("doc_id", "n_links")
+
+
+def connectivity(c: Candidates) -> DataFrame:
+    """(node, component) of the sets that link with others."""
+    percent = c.percent
+    reps = stage(c.reps(), "jaccard-reps")
+    per = c.lists.groupBy("key").agg(F.min(F.struct("u", "g", "n", "m")).alias("p"), F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo != hi").select("key", "p")
+    typical = spread_join(c.lists, stage(per, "jaccard-pivots"), "key").select("g", "n", "m", F.col("p.g").alias("pg"), F.col("p.n").alias("pn"), F.col("p.m").alias("pm"))
+    group_pairs = ordered(typical.where(may_link(percent, "n", "m", "pn", "pm")), "g", "pg").distinct()
+    rep = lambda g, x: reps.select(F.col("g").alias(g), F.col("rep").alias(x))
+    across = ordered(spread_join(stage(group_pairs, "jaccard-groups"), rep("a", "x"), "a").join(rep("b", "y"), "b"), "x", "y")
+    inside = ordered(spread_join(c.members, reps.where("c > 1").select("g", "rep"), "g"), "fp", "rep")
+    tried = stage(across.unionByName(inside).distinct(), "jaccard-pairs")
+    first = stage(verified(tried, c.tokens, percent), "jaccard-links")
+    parts = connected(first)
+
+    at = stage(c.members.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")), "jaccard-at")
+    # lists and groups that still hold several components; pairs of components first, then of groups, then of members: what is joined is what has to be verified, not the list's square
+    places = spread_join(c.lists, stage(at.select("g", "component").distinct(), "jaccard-inside"), "g", many=True)
+    open_keys = places.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+    left = stage(places.join(open_keys, "key", "left_semi").select("key", "g", "n", "m", "component"), "jaccard-open")
+    bounds = left.groupBy("key", "component").agg(F.min("n").alias("n"), F.max("m").alias("m"))
+    side = lambda x: bounds.select("key", F.col("component").alias(f"c{x}"), F.col("n").alias(f"cn{x}"), F.col("m").alias(f"cm{x}"))
     two = side("a").join(side("b"), "key").where((F.col("ca") < F.col("cb")) & may_link(percent, "cna", "cma", "cnb", "cmb")).select("key", "ca", "cb", "cnb", "cmb")
-    x = left.select(F.col("key").alias("kx"), F.col("fp").alias("x"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("component").alias("cx"))
-    y = left.select("key", F.col("fp").alias("y"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("component").alias("cb"))
-    one = two.join(x, (F.col("key") == F.col("kx")) & (F.col("ca") == F.col("cx")) & may_link(percent, "na", "ma", "cnb", "cmb"))
-    across = one.select("key", "cb", "x", "na", "ma").join(y, ["key", "cb"]).where(may_link(percent, "na", "ma", "nb", "mb")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = stage(verified(across.join(tried, ["a", "b"], "left_anti"), tokens, percent), "jaccard-links")
-    parts = connected(links.unionByName(more))
-
-    named = rows.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return named.join(least, "component", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+    x = left.select("key", F.col("component").alias("ca"), F.col("g").alias("ga"), F.col("n").alias("na"), F.col("m").alias("ma"))
+    y = left.select("key", F.col("component").alias("cb"), F.col("g").alias("gb"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    one = two.join(x, ["key", "ca"]).where(may_link(percent, "na", "ma", "cnb", "cmb"))
+    groups = one.join(y, ["key", "cb"]).where(may_link(percent, "na", "ma", "nb", "mb")).select("ga", "ca", "gb", "cb").distinct()
+    of = lambda k: at.select(F.col("g").alias(f"g{k}"), F.col("component").alias(f"c{k}"), F.col("fp").alias(k))
+    apart = at.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("g")
+    split = at.join(apart, "g", "left_semi").select("g", "component").distinct()
+    within = split.select(F.col("g").alias("ga"), F.col("component").alias("ca")).join(split.select(F.col("g").alias("gb"), F.col("component").alias("cb")), (F.col("ga") == F.col("gb")) & (F.col("ca") < F.col("cb")))
+    more = ordered(groups.unionByName(within).join(of("a"), ["ga", "ca"]).join(of("b"), ["gb", "cb"]), "a", "b").distinct()
+    second = stage(verified(stage(more.join(tried, ["a", "b"], "left_anti"), "jaccard-more"), c.tokens, percent), "jaccard-links")
+    return parts if second.isEmpty() else connected(first.unionByName(second))
+
+
+def join(docs: DataFrame, n: int = 5, percent: int = 80, bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles and component_id (the least doc_id reachable by links, itself included) for each row of docs. doc_id may be a struct, by which callers tell rows with repeated or null ids apart.
+    bits: of the first half of the fingerprint, for tests."""
+    c = Candidates(docs, n, percent, bits)
+    parts = stage(connectivity(c).withColumnRenamed("node", "fp"), "jaccard-parts")
+    own = stage(parts.join(c.sets.select("fp", "least"), "fp"), "jaccard-least")
+    least = own.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = spread_join(own, stage(least, "jaccard-components"), "component").select("fp", "component_id")
+    ids = stage(c.sets.select("fp", "least").join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "jaccard-ids")
+    unstage(c.members, c.lists, c.tokens, parts, own)
+    return spread_join(c.rows, ids, "fp", "left").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -155,6 +155,70 @@ def test_jaccard_cases(spark):
     assert jaccard_join.join(df.limit(0), 4, 85).count() == 0
 
 
+def near_copies():
+    """Copies with changed words, exact copies, texts that share a passage, short and empty ones."""
+    random.seed(6)
+    out = [None, "", "one", "one", "One", "a b", " \t"]
+    for b in range(4):
+        base = [f"b{b}w{random.randrange(500)}" for _ in range(90)]
+        for k in range(14):
+            w = list(base)
+            for _ in range(k // 2):
+                w[random.randrange(len(w))] = f"n{random.randrange(10**9)}"
+            out.append(" ".join(w[: len(w) - k % 3]))
+    passage = " ".join(f"p{k}" for k in range(60))
+    out += [passage + " " + " ".join(f"q{random.randrange(10**9)}" for _ in range(random.choice((5, 20, 60)))) for _ in range(30)]
+    return out
+
+
+@pytest.mark.parametrize("bits", [64, 3])
+def test_jaccard_links(spark, bits):
+    """All links and the number of links of each row, against brute force; with 3 bits nearly all keys clash and the other half of the fingerprint decides."""
+    common.bound_batches(spark)
+    texts = near_copies()
+    df = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    sets = [brute.shingles(t, 4) for t in texts]
+    link = lambda x, y: x and y and 100 * len(x & y) >= 85 * len(x | y)
+    want = {f"d{i}": sum(j != i and bool(link(x, y)) for j, y in enumerate(sets)) for i, x in enumerate(sets) if x}
+    assert {r.doc_id: r.n_links for r in jaccard_join.degrees(df, 4, 85, bits).collect()} == want
+    rows, pairs = jaccard_join.links(df, 4, 85, bits)
+    of = {r.doc_id: r.set for r in rows.collect()}
+    ids = {f"d{k}": k for k in range(len(texts))}
+    assert {(min(of[f"d{i}"], of[f"d{j}"]), max(of[f"d{i}"], of[f"d{j}"])) for i in range(len(texts)) for j in range(i) if link(sets[i], sets[j]) and sets[i] != sets[j]} == {(r.u, r.v) for r in pairs.collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(df, 4, 85, bits).collect()}
+    least = {}
+    for i, n, c in brute.op5([(ids[k], texts[ids[k]]) for k in ids]):
+        least.setdefault(c, []).append(f"d{i}")
+    assert got == {i: (len(sets[ids[i]]), min(m)) for m in least.values() for i in m}
+
+
+def test_jaccard_odd_ids(spark):
+    """Repeated and null ids: a component's id is the least of its ids that isn't null."""
+    common.bound_batches(spark)
+    texts = near_copies()
+    for key in (lambda k: k // 3, lambda k: None if k % 2 else k, lambda k: None):
+        rows = [(key(k), t) for k, t in enumerate(texts)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        parts = {i: c for i, _, c in brute.op5([(k, t) for k, t in enumerate(texts)])}
+        least = {}
+        for k, (i, _) in enumerate(rows):
+            if i is not None:
+                least[parts[k]] = min(i, least.get(parts[k], i))
+        want = [(i, len(brute.shingles(t, 4)), least.get(parts[k]) if t and t.strip() else i) for k, (i, t) in enumerate(rows)]
+        assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in jaccard_join.join(df, 4, 85).collect())
+
+
+def test_spread_join(spark):
+    rows = spark.createDataFrame([(k % 50 if k % 3 else 7, k) for k in range(3000)] + [(None, -1), (99, -2)], "key bigint, v int")
+    one = spark.createDataFrame([(k, k * 10) for k in range(50)], "key bigint, w int")
+    two = one.unionByName(one.withColumn("w", F.col("w") + 1))
+    for values, many in ((one, False), (two, True)):
+        for how in ("inner", "left", "left_semi"):
+            plain = rows.join(values, "key", how)
+            spread = common.spread_join(rows, values, "key", how, heavy=20, many=many)
+            assert spread.columns == plain.columns and sorted(map(str, spread.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_url_query(spark):
     assert same(spark, "op6", queries.op6_url_filter, queries.ORACLES["op6_url_filter"], SF)
 
