@@ -1,131 +1,127 @@
 """Benchmark decontamination (operator 8), DataFrame functions only: a distributed positional inverted index over the training texts.
 
-Every window of WINDOW consecutive item words (an item of fewer, but not none, is one window) is looked for by its rarest term: the terms' frequencies are counted over
-all texts, and the postings of these terms, aligned with the item's offsets, are stored with the length of the run of equal words on their diagonal. A run as
-long as a window is an exact phrase. Two things are a proximity match of an item, each within SLOP neighbouring diagonals, wherever those begin:
-- NEAR_PERCENT of SPAN consecutive item words (of all words of a shorter item) are in the text. Of so many places in a span, at least one is among its
-  rarest SPAN - needed + 1, so the postings of these find every such match, and each is checked on the words themselves;
-- NEAR or more places of the windows' rarest terms are in the text.
-The items go to executors in blocks of at most BLOCK_WORDS words, one pass over the texts for each block, so what is broadcast is bounded however many items there are.
-Null and empty texts have no words; each input row is judged on its own, repeated ids too; items without words match nothing; empty tables give no rows.
+The texts are read and cut into words once. Of every benchmark term the index stores its postings (row, place), and of every row its number of words. Terms are then known by how
+often they occur. Items are looked for by their rarest terms: the postings of these, less the term's place in the item, are intersected on cells of neighbouring diagonals; what
+at least two different places share is looked up in full, with the postings of all terms of the item in that row and cell.
+
+A run of WINDOW consecutive item words on one diagonal (of all words of a shorter item) is an exact phrase. An exact window shares its two rarest terms with the text, so its cell is found.
+A proximity match of an item: NEAR_PERCENT of SPAN consecutive item words (of all words of a shorter item) are in the text, each within the same SLOP neighbouring diagonals, wherever these
+begin. If so, at least two of the span's rarest terms are there, when so many are looked for as may be missing, and two more; so every such match is found, too.
+
+Items are cut into segments of SEGMENT words that overlap by a window, so no row holds a long item. Dictionary, probes and positions are broadcast while they are few (common.bounded)
+and dealt by a shuffle beyond that; there is one pass over the texts however large the benchmark is.
+Null and empty texts have no words; each input row is judged on its own, repeated ids too; items without words match nothing; empty tables give no rows. Columns of docs other than doc_id and
+text aren't read, so their names do no harm.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import ascii_lower, stage
+from .common import ascii_lower, bounded, stage, unstage
 
-WINDOW, BLOCK_WORDS, SLOP, NEAR, SPAN, NEAR_PERCENT = 10, 200_000, 8, 3, 20, 80
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WINDOW, SLOP, SPAN, NEAR_PERCENT, SEGMENT = 10, 8, 20, 80, 256
+#: What stands between words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text.
+SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(WORD), F.lit(0))
-
-
-def run_length(a: Column, b: Column) -> Column:
-    """How many leading elements are equal."""
-    miss = F.array_position(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
-    return F.when(miss > 0, miss - 1).otherwise(F.greatest(F.size(a), F.size(b))).cast("int")
-
-
-def span(item: Column) -> Column:
-    return F.least(F.size(item), F.lit(SPAN))
-
-
-def needed(item: Column) -> Column:
-    """How many words of a span make a proximity match."""
-    return F.ceil(span(item) * NEAR_PERCENT / 100).cast("int")
-
-
-def anchors(items: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """term, item_id, item (its words), item_at (place in it), anchor and least. anchor: it is some window's rarest term, of equally rare ones the first place.
-    least: of the spans that have it among their rarest places, how many different words a match has at least; null if there is no such span."""
-    each = items.select("item_key", "item_id", "item", F.posexplode("item").alias("at", "term")).join(counts, "term", "left")
-    place = F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("at"), F.col("term"))
-    ahead = lambda k: Window.partitionBy("item_key").orderBy("at").rowsBetween(0, k - 1)
-    n, item = F.size("item"), F.col("item")
-    starts = lambda k: (F.col("at") + k <= n) | ((F.col("at") == 0) & (n < k))
-    one = each.select("item_key", "item_id", "item", "at", F.min(place).over(ahead(window)).alias("best")).where(starts(window)).withColumn("least", F.lit(None).cast("int"))
-    spans = each.select("item_key", "item_id", "item", "at", F.array_sort(F.collect_list(place).over(ahead(SPAN))).alias("all")).where(starts(SPAN))
-    least = F.size(F.array_distinct(F.transform("all", lambda x: x["term"]))) - span(item) + needed(item)
-    rare = spans.select("item_key", "item_id", "item", F.explode(F.slice("all", F.lit(1), span(item) - needed(item) + 1)).alias("best"), least.alias("least"))
-    both = one.select("item_key", "item_id", "item", "best", "least", F.lit(True).alias("anchor")).unionByName(rare.withColumn("anchor", F.lit(False)))
-    return both.groupBy("item_key", F.col("best.at").alias("item_at"), F.col("best.term").alias("term")).agg(F.first("item_id").alias("item_id"), F.first("item").alias("item"), F.max("anchor").alias("anchor"), F.min("least").alias("least"))
-
-
-def part(w: Column, x: Column, y: Column) -> Column:
-    """Words x to y, as far as there are such."""
-    return F.slice(w, F.greatest(x, F.lit(0)) + 1, F.greatest(y - F.greatest(x, F.lit(0)) + 1, F.lit(0)))
-
-
-def around(i: Column, b: Column) -> tuple[Column, Column]:
-    """First and last place of the spans that hold place b."""
-    return F.greatest(b - span(i) + 1, F.lit(0)), F.least(b + span(i) - 1, F.size(i) - 1)
-
-
-def may_be_near(w: Column, i: Column, a: Column, b: Column, least: Column) -> Column:
-    """False only if words w have no proximity match of a span of item i on SLOP diagonals, that of places a and b among them: too few of its different words are thereabouts. No lambdas, so that it is compiled into the join."""
-    low, high = around(i, b)
-    return F.size(F.array_intersect(F.slice(i, low + 1, high - low + 1), part(w, a - b + low - SLOP + 1, a - b + high + SLOP - 1))) >= least
-
-
-def is_near(w: Column, i: Column, a: Column, b: Column) -> Column:
-    """Whether they have one."""
-    (low, high), size, need = around(i, b), span(i), needed(i)
-    there = lambda f: F.filter(F.sequence(low, high), lambda p: F.array_contains(part(w, a - b + p + f, a - b + p + f + SLOP - 1), F.get(i, p)))
-    close = lambda m: F.when(F.size(m) >= need, F.exists(F.sequence(F.lit(0), F.size(m) - need), lambda k: F.get(m, k + need - 1) - F.get(m, k) < size)).otherwise(False)
-    return F.exists(F.transform(F.sequence(F.lit(1 - SLOP), F.lit(0)), there), close)
-
-
-def postings(texts: DataFrame, probes: DataFrame, window: int) -> DataFrame:
-    """row, doc_id, at, item_id, item_key, item_at, anchor, left, right, need, near: the index. A row of each text with item_key null has its number of words as at.
-    Postings that are neither anchors nor in a proximity match aren't stored."""
-    end = texts.sparkSession.createDataFrame([("", None)], "term string, item_key bigint")
-    probes = probes.unionByName(end, allowMissingColumns=True)
-    each = texts.select("row", "doc_id", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("at", "term"))
-    w, i, a, b = F.col("words"), F.col("item"), F.col("at"), F.col("item_at")
-    may = F.coalesce(may_be_near(w, i, a, b, F.col("least")), F.lit(False))
-    hit = each.join(F.broadcast(probes), "term").where(F.col("item_key").isNull() | F.col("anchor") | may)
-    right = run_length(F.slice(w, a + 1, F.lit(window)), F.slice(i, b + 1, F.lit(window)))
-    back = lambda x, k: F.reverse(F.slice(x, F.greatest(k - window + 2, F.lit(1)), F.least(k, F.lit(window - 1))))
-    left = run_length(back(w, a), back(i, b))
-    real = F.col("item_key").isNotNull()
-    near = F.when(real & may, F.when(left + right >= needed(i), True).otherwise(is_near(w, i, a, b))).otherwise(False)
-    # exploded, so that the filter below stays behind the join and the values are made once
-    values = F.struct(F.when(F.col("anchor"), left).alias("left"), F.when(F.col("anchor"), right).alias("right"), near.alias("near"))
-    made = hit.select("row", "doc_id", "at", "item_id", "item_key", "item_at", "anchor", F.least(F.size("item"), F.lit(window)).alias("need"), F.explode(F.array(values)).alias("v"))
-    return made.select("row", "doc_id", "at", "item_id", "item_key", "item_at", "anchor", "need", "v.left", "v.right", "v.near").where(F.col("item_key").isNull() | F.col("anchor") | F.col("near"))
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(ascii_lower(t))
+    return F.array_remove(F.split(low, SEPARATOR), "")
+
+
+def segments(benchmark: DataFrame, window: int) -> DataFrame:
+    """seg, item_key, item_id, words, need (the length of an exact window), span and near (words of a span, and how many of them make a match). Each window and span is inside a segment."""
+    over = max(window, SPAN) - 1
+    size = F.size("item")
+    items = benchmark.select(F.monotonically_increasing_id().alias("item_key"), F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item")).where(size > 0)
+    cut = items.select("item_key", "item_id", "item", F.explode(F.sequence(F.lit(0), F.greatest(size - over - 1, F.lit(0)), F.lit(max(SEGMENT, 2 * over) - over))).alias("from"))
+    span = F.least(size, F.lit(SPAN))
+    return cut.select(F.monotonically_increasing_id().alias("seg"), "item_key", "item_id", F.slice("item", F.col("from") + 1, F.lit(max(SEGMENT, 2 * over))).alias("words"),
+                      F.least(size, F.lit(window)).alias("need"), span.alias("span"), F.ceil(span * NEAR_PERCENT / 100).cast("int").alias("near"))
+
+
+def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """row, at, tid, doc_id: the postings of the terms. One more row for each text, with tid -1, has its doc_id, and its number of words as at."""
+    end = docs.sparkSession.createDataFrame([("", -1)], "term string, tid bigint")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.concat(words(F.col("text")), F.array(F.lit(""))).alias("words"))  # numbered before the words are dealt out
+    each = rows.select("row", "doc_id", F.posexplode("words").alias("at", "term"))
+    hit = each.join(bounded(terms.unionByName(end)), "term")
+    return hit.select("row", "at", "tid", F.when(F.col("tid") < 0, F.col("doc_id")).alias("doc_id"))
+
+
+def probes(places: DataFrame) -> DataFrame:
+    """seg, p, tid, least: the places whose postings are intersected, and how many different ones of a segment must meet. places: seg, p, tid, n, size, need, span, near.
+
+    Of each exact window the two rarest; of each span as many of the rarest as may be missing, and two more. Terms that no text has can't be met; a window with one, or a span with too many, is passed over.
+    """
+    ahead = lambda k: Window.partitionBy("seg").orderBy("p").rowsBetween(0, k - 1)
+    size = F.col("size")
+    starts = lambda k: (F.col("p") + k <= size) | ((F.col("p") == 0) & (size < k))
+    rank = F.struct("n", "p", "tid")
+    keep = ("seg", "p", "size", "need", "span", "near")
+    longest = places.agg(F.max("need")).first()[0] or 1
+    window = places.select(*keep, F.array_sort(F.collect_list(rank).over(ahead(longest))).alias("all")).where(starts(longest) & (F.element_at("all", 1)["n"] > 0)).select("seg", "size", F.explode(F.slice("all", 1, 2)).alias("best"))
+    missing = F.col("span") - F.col("near")
+    spans = places.select(*keep, F.array_sort(F.collect_list(rank).over(ahead(SPAN))).alias("all")).where(starts(SPAN))
+    absent = F.size(F.filter("all", lambda x: x["n"] == 0))
+    near = spans.where(absent <= missing).select("seg", "size", F.explode(F.slice("all", F.lit(1), missing + 2)).alias("best")).where("best.n > 0")
+    return window.unionByName(near).select("seg", F.col("best.p").alias("p"), F.col("best.tid").alias("tid"), F.least(size, F.lit(2)).alias("least")).distinct()
+
+
+def cells(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row, seg, cell: where enough places of the probes meet. Cell c is the diagonals (place in the text less place in the segment) from c * SLOP on, 2 * SLOP of them, so any SLOP neighbouring ones are inside one."""
+    d = F.col("at") - F.col("p")
+    hits = index.join(bounded(wanted), "tid").select("row", "seg", "p", "least", F.floor(d / SLOP).cast("int").alias("c"))
+    both = hits.select("row", "seg", "p", "least", F.explode(F.array(F.col("c"), F.col("c") - 1)).alias("cell"))
+    return both.groupBy("row", "seg", "cell").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.min("least").alias("least")).where((F.col("least") == 1) | (F.col("lo") < F.col("hi"))).select("row", "seg", "cell")
+
+
+def matched(index: DataFrame, found: DataFrame, places: DataFrame) -> DataFrame:
+    """row, seg, cell, p, d: all words of the segments that are in the text on a cell's diagonals."""
+    d = F.col("at") - F.col("p")
+    there = index.where("tid >= 0").select("row", "at", "tid").join(bounded(found), "row").join(bounded(places.select("seg", "p", "tid")), ["seg", "tid"])
+    return there.where((d >= F.col("cell") * SLOP) & (d < (F.col("cell") + 2) * SLOP)).select("row", "seg", "cell", "p", d.alias("d"))
+
+
+def phrases(words_there: DataFrame, segs: DataFrame) -> DataFrame:
+    """row, item_id, start, end (exclusive): runs of item words at least as long as a window. Of a diagonal's two cells the first counts."""
+    one = words_there.where(F.floor(F.col("d") / SLOP) == F.col("cell"))
+    run = F.col("p") - F.row_number().over(Window.partitionBy("row", "seg", "d").orderBy("p"))
+    runs = one.withColumn("run", run).groupBy("row", "seg", "d", "run").agg(F.min("p").alias("p"), F.count(F.lit(1)).alias("n"))
+    return runs.join(bounded(segs.select("seg", "item_id", "need")), "seg").where(F.col("n") >= F.col("need")).select("row", "item_id", (F.col("d") + F.col("p")).alias("start"), (F.col("d") + F.col("p") + F.col("n")).alias("end"))
+
+
+def proximity(words_there: DataFrame, segs: DataFrame) -> DataFrame:
+    """row, item_key of each proximity match."""
+    about = bounded(segs.select("seg", "item_key", "span", "near"))
+    enough = words_there.groupBy("row", "seg", "cell").agg(F.countDistinct("p").alias("n")).join(about, "seg").where(F.col("n") >= F.col("near")).select("row", "seg", "cell", "item_key", "span", "near")
+    first, last = F.greatest(F.col("cell") * SLOP, F.col("d") - SLOP + 1), F.least((F.col("cell") + 1) * SLOP - 1, F.col("d"))
+    bands = words_there.join(enough, ["row", "seg", "cell"]).where(first <= last).select("row", "item_key", "seg", "span", "near", "p", F.explode(F.sequence(first, last)).alias("low"))
+    by_band = bands.groupBy("row", "item_key", "seg", "span", "near", "low").agg(F.array_sort(F.collect_set("p")).alias("ps")).where(F.size("ps") >= F.col("near"))
+    dense = F.exists(F.sequence(F.lit(0), F.size("ps") - F.col("near")), lambda k: F.get("ps", k + F.col("near") - 1) - F.get("ps", k) < F.col("span"))
+    return by_band.where(dense).select("row", "item_key").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as sorted strings), n_near (items with a proximity match) of each row of docs."""
-    items = benchmark.select(F.monotonically_increasing_id().alias("item_key"), F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item")).where(F.size("item") > 0)
-    items = stage(items, "decontaminate-items")
-    blocks = max(1, -(-(items.agg(F.sum(F.size("item"))).first()[0] or 0) // BLOCK_WORDS))
-    block = lambda k: items.where(F.pmod(F.xxhash64("item_key"), F.lit(blocks)) == k)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), words(F.col("text")).alias("words"))
-    seen = docs.select(F.explode(words(F.col("text"))).alias("term"))
-    parts = []
-    for k in range(blocks):
-        terms = block(k).select(F.explode("item").alias("term")).distinct()
-        counts = stage(seen.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n")), "decontaminate-counts")
-        probes = stage(anchors(block(k), counts, window), "decontaminate-probes")
-        parts.append(stage(postings(rows, probes, window), "decontaminate-index"))
-    index = reduce(DataFrame.unionByName, parts)
-    texts = parts[0].where("item_key is null").select("row", "doc_id", F.col("at").cast("bigint").alias("n_words"))
-    found = index.where("item_key is not null")
-    exact = found.where(F.col("anchor") & (F.col("left") + F.col("right") >= F.col("need"))).select("row", "item_id", (F.col("at") - F.col("left")).alias("start"), (F.col("at") + F.col("right")).alias("end"))
+    segs = stage(segments(benchmark, window), "decontaminate-segments")
+    each = segs.select("seg", F.size("words").alias("size"), "need", "span", "near", F.posexplode("words").alias("p", "term"))
+    terms = stage(each.select("term").distinct().select("term", F.monotonically_increasing_id().alias("tid")), "decontaminate-terms")
+    index = stage(build_index(docs.select("doc_id", "text"), terms), "decontaminate-index")
+    counts = index.where("tid >= 0").groupBy("tid").agg(F.count(F.lit(1)).alias("n"))
+    known = terms.join(counts, "tid", "left").select("term", "tid", F.coalesce("n", F.lit(0)).alias("n"))
+    places = stage(each.join(known, "term").drop("term"), "decontaminate-places")
+    found = stage(cells(index, stage(probes(places), "decontaminate-probes")), "decontaminate-cells")
+    there = stage(matched(index, found, places), "decontaminate-matched")
+    exact = stage(phrases(there, segs), "decontaminate-phrases")
+    close = stage(proximity(there, segs), "decontaminate-near")
+    unstage(terms, places, found, there, segs)
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(before), F.lit(0))))
     hits = exact.withColumn("new", new).groupBy("row").agg(F.sum("new").alias("n_hit"), F.collect_set("item_id").alias("items"))
-    aligned = found.where("anchor").select("row", "item_key", "item_at", (F.col("at") - F.col("item_at")).alias("d"))
-    several = aligned.groupBy("row", "item_key").agg(F.countDistinct("item_at").alias("n")).where(F.col("n") >= NEAR).select("row", "item_key")
-    bands = aligned.join(several, ["row", "item_key"], "left_semi").select("row", "item_key", "item_at", F.explode(F.sequence(F.col("d") - SLOP + 1, F.col("d"))).alias("band"))
-    by_anchors = bands.groupBy("row", "item_key", "band").agg(F.countDistinct("item_at").alias("n")).where(F.col("n") >= NEAR).select("row", "item_key")
-    near = found.where("near").select("row", "item_key").unionByName(by_anchors).groupBy("row").agg(F.countDistinct("item_key").alias("n_near"))
+    near = close.groupBy("row").agg(F.count(F.lit(1)).alias("n_near"))
+    texts = index.where("tid < 0").select("row", "doc_id", F.col("at").cast("bigint").alias("n_words"))
     return texts.join(hits, "row", "left").join(near, "row", "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("items"), F.coalesce("n_near", F.lit(0)).alias("n_near"))
