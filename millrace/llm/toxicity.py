@@ -22,7 +22,7 @@ from .common import class_share, label_sample, let_go, sample_texts, stage, unst
 
 N_GRAMS, BUCKET_BITS, SAMPLE, ALPHA = (4, 5, 6), 20, {1: 3000, 0: 6000}, 0.5
 #: Features in fewer sample rows than MIN_ROWS, or with a log-count ratio nearer to 0 than MIN_RATIO, get no weight.
-MIN_ROWS, MIN_RATIO, RIDGE, FOLDS, FALSE_POSITIVES = 4, 1.5, 1e-2, 10, 0.01
+MIN_ROWS, MIN_RATIO, RIDGE, FOLDS, FALSE_POSITIVES = 4, 1.5, 1e-2, 5, 0.01
 # Odd multipliers of the n-gram hash.
 MIX, STEP = np.uint32(0x85EBCA6B), np.uint32(16777619)
 PIECE = 1 << 16
@@ -176,9 +176,9 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", sample: dict[
         let_go()
         return texts.map(lambda t: features(t).tobytes())
 
-    rows = stage(sample_texts(docs, picked).select("id", "y", get("text").alias("f")).repartition(64, "id"), "toxicity-features")
+    rows = stage(sample_texts(docs, picked).select("id", "y", get("text").alias("f")), "toxicity-features")
     seen, n = np.zeros((2, 1 << BUCKET_BITS), np.int32), np.zeros(2, np.int64)
-    for r in rows.toLocalIterator():  # a 64th of the sample at a time
+    for r in rows.toLocalIterator():  # a file or a part of one at a time
         seen[r.y, np.frombuffer(r.f, np.int32)] += 1
         n[r.y] += 1
     if n.min() == 0:
