@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Fixed values of 32-bit FNV-1a.
 OFFSET, PRIME, MASK = 2166136261, 16777619, 4294967295
@@ -17,9 +17,19 @@ def bucket(key: Column, n: int = 64) -> Column:
     return (h % n).cast("int")
 
 
-def owners(spark: SparkSession, n_units: int, n_workers: int, unit: str = "bucket") -> DataFrame:
-    """Unit u belongs to worker u mod n, workers in the order they joined."""
-    return spark.range(n_units).select(F.col("id").alias(unit), F.pmod("id", F.lit(n_workers)).alias("owner"))
+def member_order(members: DataFrame) -> DataFrame:
+    """worker and place: workers (worker, join_seq) in the order they joined, from 0. There are as many rows as workers."""
+    return members.select("worker", (F.row_number().over(Window.orderBy("join_seq", "worker")) - 1).alias("place"))
+
+
+def owners(spark: SparkSession, n_units: int, members: int | DataFrame, unit: str = "bucket") -> DataFrame:
+    """Unit u belongs to the worker whose place in join order is u mod n. members: their number (the owner is then a place), or a table (worker, join_seq)."""
+    units = spark.range(n_units).withColumnRenamed("id", unit)
+    if isinstance(members, int):
+        return units.select(unit, F.pmod(unit, F.lit(members)).alias("owner"))
+    place = member_order(members)
+    n = F.count(F.lit(1)).over(Window.partitionBy())
+    return units.join(F.broadcast(place.withColumn("_n", n)), F.pmod(unit, F.col("_n")) == F.col("place")).select(unit, F.col("worker").alias("owner"))
 
 
 def restore_owned(state: DataFrame, owned: list[int], n: int = 64, key: str = "key") -> DataFrame:

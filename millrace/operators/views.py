@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def first_wins(rows: DataFrame, order: list[str], by: tuple[str, ...] = ("key", "window_start")) -> DataFrame:
-    """The first row of each (key, window) in commit order; later ones are duplicates."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The first row of each (key, window) in commit order, then by its other columns; later ones are duplicates. A minimum, so that duplicates fall before the exchange."""
+    rest = [c for c in rows.columns if c not in by]
+    first = [c for c in order if c in rest]
+    least = rows.groupBy(*by).agg(F.min(F.struct(*first, *(c for c in rest if c not in first))).alias("_r"))
+    return least.select(*(F.col(c) if c in by else F.col(f"_r.{c}").alias(c) for c in rows.columns))
 
 
 def duplicates(rows: DataFrame, by: tuple[str, ...] = ("key", "window_start")) -> DataFrame:
@@ -26,18 +28,27 @@ def key_rollup(rows: DataFrame) -> DataFrame:
         F.sum("count").alias("count"), cents(F.sum("sum_amount")).alias("sum_cents"), F.min("min_amount").alias("min_amount"), F.max("max_amount").alias("max_amount"))
 
 
+def rollup_lines(rollup: DataFrame) -> DataFrame:
+    """One column, line: key, count, cents, min and max with two decimals, parted by tabs."""
+    two = lambda c: F.format_string("%.2f", c)
+    return rollup.select(F.concat_ws("\t", "key", "count", "sum_cents", two("min_amount"), two("max_amount")).alias("line"))
+
+
 def rollup_tsv(rollup: DataFrame, path: str) -> None:
-    """key, count, cents, min and max with two decimals, by key. Sorted by range, so the parts in name order are sorted too."""
-    (rollup.orderBy("key").select("key", "count", "sum_cents", F.format_string("%.2f", "min_amount").alias("min"), F.format_string("%.2f", "max_amount").alias("max"))
-     .write.mode("overwrite").option("sep", "\t").csv(path))
+    """The lines by key. Sorted by range, so the parts in name order are sorted too."""
+    rollup_lines(rollup.orderBy("key")).write.mode("overwrite").text(path)
+
+
+def verify_report(rows: DataFrame, files: str | None = None) -> DataFrame:
+    """One row: events, keys, distinct windows and duplicates, and files if a column tells where a row came from. Expects all committed rows; counts events of the first row of each window. One pass."""
+    per = rows.groupBy("key", "window_start").agg(F.min(F.struct("checkpoint_id", "count")).alias("_r"), F.count(F.lit(1)).alias("_n"))
+    out = per.agg(F.coalesce(F.sum("_r.count"), F.lit(0)).alias("events"), F.countDistinct("key").alias("keys"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicates"))
+    return out if files is None else out.crossJoin(F.broadcast(rows.agg(F.countDistinct(files).alias("files"))))  # one row each
 
 
-def verify_report(rows: DataFrame) -> DataFrame:
-    """One row: events, keys, distinct windows and duplicates. Expects all committed rows; counts events of the first row of each window."""
-    kept = first_wins(rows, ["checkpoint_id"])
-    total = rows.agg(F.count(F.lit(1)).alias("all_rows"))
-    return kept.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("events"), F.countDistinct("key").alias("keys"), F.count(F.lit(1)).alias("rows")).crossJoin(F.broadcast(total)).select(
-        "events", "keys", "rows", (F.col("all_rows") - F.col("rows")).alias("duplicates"))
+def rollup_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of two rollups that differ, with the side they are on; none if the rollups are equal."""
+    return a.exceptAll(b).withColumn("side", F.lit("a")).unionByName(b.exceptAll(a).withColumn("side", F.lit("b")))
 
 
 def missing(base: DataFrame, other: DataFrame) -> DataFrame:

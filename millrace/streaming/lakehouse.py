@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.views import first_wins, history
+from ..operators.views import first_wins, history, time_travel
+from ..schema import WINDOW_ROW
 from . import commit
 
 
 def append(spark: SparkSession, source: str, table: str) -> int:
-    """Appends each committed checkpoint of source that the table doesn't have yet, deduplicated within itself; empty ones make no snapshot. Returns how many were appended."""
-    have = {r[0] for r in commit.manifests(spark, table).select("checkpoint_id").toLocalIterator()}
+    """Appends each committed checkpoint of source that the table doesn't have yet, deduplicated within itself; empty ones make no snapshot. Each reads its own files only. Returns how many were appended."""
+    have = {r[0] for r in commit.ids(spark, table).toLocalIterator()}
     n = 0
     for m in commit.manifests(spark, source).toLocalIterator():
-        if m.checkpoint_id in have:
+        if m.checkpoint_id in have or not m.staged_outputs:
             continue
-        rows = commit.committed(spark, source).where(F.col("checkpoint_id") == m.checkpoint_id)
-        rel = f"data/snapshot={m.checkpoint_id}"
-        first_wins(rows, ["window_start", "key"], ("checkpoint_id", "key", "window_start")).write.mode("overwrite").parquet(f"{table}/{rel}")
-        if spark.read.parquet(f"{table}/{rel}").isEmpty():
+        rows = spark.read.schema(WINDOW_ROW).parquet(*(f"{source}/{p}" for p in m.staged_outputs)).where(F.col("checkpoint_id") == m.checkpoint_id)
+        rel = f"snapshot={m.checkpoint_id}/attempt={uuid.uuid4().hex}"
+        first_wins(rows, ["count"], ("checkpoint_id", "key", "window_start")).write.parquet(f"{table}/{rel}")
+        if spark.read.schema(WINDOW_ROW).parquet(f"{table}/{rel}").isEmpty():
+            commit.remove(spark, f"{table}/{rel}")
             continue
-        commit.write_manifest(spark, table, m.checkpoint_id, [rel])
+        commit.write_manifest(spark, table, m.checkpoint_id, [rel], dict(m.kafka_offsets or {}))
         n += 1
     return n
 
@@ -35,3 +39,8 @@ def current(spark: SparkSession, table: str) -> int:
 
 def as_of(spark: SparkSession, table: str, checkpoint_id: int) -> DataFrame:
     return commit.committed(spark, table, checkpoint_id)
+
+
+def report(spark: SparkSession, table: str) -> DataFrame:
+    """Rows as of the first and the last snapshot, and the difference."""
+    return time_travel(commit.committed(spark, table))
