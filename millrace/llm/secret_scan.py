@@ -1,10 +1,13 @@
 """Secret scan (operator 1), DataFrame functions only: keyword, access-key and hex findings, and beside them tokens that a battery of randomness tests calls random.
 
-Battery, for each run of 20 or more token characters, with the alphabet of its inferred encoding (hex, base32, letters, base62, base64): chi-squared uniformity
-of the alphabet, runs about the alphabet's middle, serial correlation. A token passes if none of them rejects randomness (Bonferroni). How unlikely it is as text
-(repeated letters, changes between lower case, upper case and digits) gives its p value; Benjamini-Hochberg, within classes of length and over all rows, sets
-the p value needed. The classes' histograms (4 x 301 rows at most) are all that reaches the driver. Spans are in code points, their end exclusive.
-Null and empty texts have no findings; repeated rows give repeated results; an empty table gives no rows.
+Battery, for each run of 20 or more token characters, with the alphabet of its inferred encoding (hex, base32, letters, base62, base64): chi-squared uniformity of the alphabet, runs, serial
+correlation. Both hypotheses are tested. Against randomness, all three: a token passes if none rejects it (Bonferroni, level ALPHA). Against text, as the null hypothesis of the
+false-discovery control, those that tell the two apart: the chi-squared statistic where letters repeat as in text (its linear form, the chance that two letters are equal), and the
+number of runs of lower case, upper case and digits; the lesser p value counts (Bonferroni). Benjamini-Hochberg within classes of length and over all rows sets the p value needed, so which
+random tokens are reported follows from the whole table; the base spans of a text follow from the text alone. The classes' histograms (4 x 301 rows at most) are all that reaches the driver.
+
+Spans are in code points, their end exclusive. A random span is what base spans leave of a token. Work grows as n to the power 1.5 at most with the findings of one text (prefix()).
+Null and empty texts have no findings; repeated rows give repeated results; an empty table gives no rows; of docs only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -27,19 +30,27 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def prefix(values: Column) -> Column:
+    """Sums of the elements before each one. In two levels, blocks of about the square root, as an array that grows by one is copied each time."""
+    n = F.size(values)
+    block = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
+    grow = lambda first: F.struct(first.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
+    add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    run = lambda xs, first: F.aggregate(xs, grow(first), add, lambda acc: acc["out"])
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(1), n, block), lambda k: F.slice(values, k, block))).otherwise(F.expr("cast(array() as array<array<int>>)"))
+    totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x))
+    return F.flatten(F.zip_with(blocks, run(totals, F.lit(0)), run))
+
+
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of all matches: the lengths of what stands between them and of themselves, added up."""
     p = F.lit(pattern)
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, p, F.lit(0)).alias("hit"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
-    zero = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start:int,end:int,value:string>>))")
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(F.coalesce(x["gap"], F.lit("")))
-        end = start + F.length(F.coalesce(x["hit"], F.lit("")))
-        one = F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
-
-    return F.aggregate(parts, zero, add, lambda acc: acc["out"])
+    hits = F.regexp_extract_all(text, p, F.lit(0))
+    sized = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("len")))
+    before = prefix(F.transform(sized, lambda x: x["gap"] + x["len"]))
+    parts = F.arrays_zip(sized.alias("x"), before.alias("before"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
+    start = lambda m: m["before"] + m["x"]["gap"]
+    return F.transform(parts, lambda m: F.struct(start(m).alias("start"), (start(m) + m["x"]["len"]).alias("end"), m["value"].alias("value")))
 
 
 def found(text: Column, kind: str, pattern: str, group: int, least: int, has: str) -> Column:
@@ -130,13 +141,17 @@ def thresholds(histogram: list[tuple[int, int, int]], q: float = FDR) -> dict[in
     return out
 
 
-def rest(t: Column, base: Column) -> Column:
-    """Random spans: what the (sorted) base spans leave of a token."""
-    zero = F.struct(t["start"].alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("out"))
-    span = lambda a, b: F.when(a < b, F.array(F.struct(a.alias("start"), F.lit(3).alias("kind"), b.alias("end")))).otherwise(F.array()).cast(f"array<{SPAN}>")
-    cut = F.aggregate(base, zero, lambda acc, s: F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], span(acc["at"], F.least(s["start"], t["end"]))).alias("out")),
-                      lambda acc: F.concat(acc["out"], span(acc["at"], t["end"])))
-    return F.when(F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])), cut).otherwise(span(t["start"], t["end"]))
+def pieces(tokens: Column, base: Column, kind: int = 3) -> Column:
+    """What base spans leave of tokens (both arrays of structs with start and end), as spans of a kind. Between any two neighbouring ends of tokens and spans all is the same,
+    so it is enough to count how many of each are open there."""
+    ends = lambda xs, t, b: F.flatten(F.transform(xs, lambda x: F.array(F.struct(x["start"].alias("at"), F.lit(t).alias("t"), F.lit(b).alias("b")), F.struct(x["end"].alias("at"), F.lit(-t).alias("t"), F.lit(-b).alias("b")))))
+    marks = F.array_sort(F.concat(ends(tokens, 1, 0), ends(base, 0, 1)))
+    n = F.size(marks)
+    opened = F.arrays_zip(marks.alias("m"), prefix(F.transform(marks, lambda m: m["t"])).alias("t"), prefix(F.transform(marks, lambda m: m["b"])).alias("b"))
+    # prefix() stops before the mark itself: what is open after mark k is what is open before mark k + 1
+    pairs = F.zip_with(F.slice(opened, F.lit(1), n - 1), F.slice(opened, F.lit(2), n - 1), lambda x, y: F.struct(x["m"]["at"].alias("start"), y["m"]["at"].alias("end"), (y["t"] > 0).alias("t"), (y["b"] == 0).alias("free")))
+    left = F.filter(pairs, lambda x: x["t"] & x["free"] & (x["start"] < x["end"]))
+    return F.when(n > 1, F.transform(left, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))).otherwise(F.array()).cast(f"array<{SPAN}>")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -150,7 +165,7 @@ def scan(docs: DataFrame) -> DataFrame:
     bins = rows.select(F.explode("tokens").alias("t")).groupBy(F.col("t.class").alias("c"), F.col("t.bin").alias("b")).count().collect()
     needed = thresholds([tuple(r) for r in bins])
     enough = lambda t: F.coalesce(*[F.when(t["class"] == c, t["bin"] >= b) for c, b in sorted(needed.items())], F.lit(False))
-    extra = F.flatten(F.transform(F.filter("tokens", lambda t: t["random"] & enough(t)), lambda t: rest(t, F.array_sort("base"))))
+    extra = pieces(F.filter("tokens", lambda t: t["random"] & enough(t)), F.col("base"))
     n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("bigint")
     return rows.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.array_sort("base").alias("base"),
                        F.array_sort(F.concat("base", extra.cast(f"array<{SPAN}>"))).alias("spans"))
@@ -162,14 +177,29 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by [SECRET:kind]; of overlapping ones the first counts, and what sticks out of it goes too."""
-    names = F.array(*map(F.lit, KINDS))
-    zero = F.expr("named_struct('at', 0, 'out', '')")
+#: Code points in a piece of a text: a place in a piece is found from the piece's start.
+PIECE = 1024
 
-    def add(acc: Column, s: Column) -> Column:
-        new = s["start"] >= acc["at"]
-        mark = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET:"), F.element_at(names, s["kind"] + 1), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], mark)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+def redact(text: Column, spans: Column) -> Column:
+    """The text with each of the (sorted) spans replaced by [SECRET:kind]; of overlapping ones the first counts, and what sticks out of it goes too. Spans that meet without overlap stay two."""
+    names = F.array(*map(F.lit, KINDS))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(a: Column, b: Column) -> Column:
+        """Code points a to b of the text."""
+        of = lambda k: F.substring(F.get(chunks, k.cast("int")), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+        return F.when(a < b, F.array_join(F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")), of), "")).otherwise("")
+
+    # a span is new if no span before it is open at its start; groups of overlapping spans have the first one's kind
+    ends = lambda xs: F.flatten(F.transform(xs, lambda x: F.array(F.struct(x["start"].alias("at"), F.lit(1).alias("d"), x["kind"].alias("kind")), F.struct(x["end"].alias("at"), F.lit(-1).alias("d"), F.lit(9).alias("kind")))))
+    marks = F.array_sort(ends(spans))  # ends come before starts at one place
+    opened = F.arrays_zip(marks.alias("m"), prefix(F.transform(marks, lambda m: m["d"])).alias("open"))
+    borders = F.filter(opened, lambda x: F.when(x["m"]["d"] > 0, x["open"] == 0).otherwise(x["open"] == 1))  # starts and ends of the groups by turns
+    n = F.size(borders)
+    first = F.filter(borders, lambda x, k: k % 2 == 0)
+    last = F.filter(borders, lambda x, k: k % 2 == 1)
+    before = F.concat(F.array(F.lit(0)), F.slice(F.transform(last, lambda x: x["m"]["at"]), F.lit(1), F.size(last) - 1))
+    kept = F.zip_with(before, first, lambda a, x: F.concat(between(a, x["m"]["at"]), F.lit("[SECRET:"), F.element_at(names, x["m"]["kind"] + 1), F.lit("]")))
+    end = F.element_at(last, -1)["m"]["at"]
+    return F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(F.array_join(kept, ""), between(end, F.length(text)))).otherwise(text)

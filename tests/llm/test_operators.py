@@ -60,8 +60,52 @@ def test_secret_scan_rest_of_token(spark):
     r = {x.doc_id: x for x in secret_scan.scan(df).select("doc_id", "spans", secret_scan.joined(F.col("spans")).alias("s")).collect()}
     assert [r[k].s for k in range(3)] == ["access:0:20,random:20:61", "random:4:44", ""]
     base = "array(named_struct('start', 2, 'kind', 1, 'end', 5), named_struct('start', 4, 'kind', 2, 'end', 6), named_struct('start', 8, 'kind', 2, 'end', 30))"
-    pieces = spark.range(1).select(F.expr("named_struct('start', 0, 'end', 20)").alias("t"), F.expr(base).alias("b")).select(secret_scan.rest(F.col("t"), F.col("b"))).first()[0]
-    assert [(x.start, x.end) for x in pieces] == [(0, 2), (6, 8)]
+    got = spark.range(1).select(F.expr("array(named_struct('start', 0, 'end', 20))").alias("t"), F.expr(base).alias("b")).select(secret_scan.pieces(F.col("t"), F.col("b"))).first()[0]
+    assert [(x.start, x.end) for x in got] == [(0, 2), (6, 8)]
+
+
+def test_random_tokens_against_brute_force(spark):
+    """Battery, length classes and threshold, token by token in plain Python: all spans of the query."""
+    docs = duck(SF, "select doc_id, text from documents")[1]
+    random.seed(9)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCabc012+/-_="]
+    docs += [(10_000 + k, " ".join("".join(random.choices(random.choice(alphabets), k=random.choice((20, 22, 33, 64, 130, 200)))) for _ in range(4)) + " secret=abcdefgh") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {r.doc_id: r.s for r in secret_scan.scan(df).select("doc_id", secret_scan.joined(F.col("spans")).alias("s")).collect()}
+    want = brute.op1_spans(docs)
+    assert got == want and sum("random" in x for x in want.values()) > 20
+
+
+def test_many_findings_in_one_text(spark):
+    """Work doesn't grow with the square of the findings; redaction against plain Python."""
+    import time
+
+    took = []
+    for n in (1000, 4000):
+        text = "\n".join(f"é{k} {k * 7919 % 16**12:012x}{k * 104729 % 16**12:012x}0f" for k in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+        began = time.time()
+        spans = [tuple(x) for x in secret_scan.scan(df).first().spans]
+        assert len(spans) >= n and spans[0][1] == 2
+        red = df.select(secret_scan.redact(F.col("text"), F.lit(None).cast("array<struct<start:int,kind:int,end:int>>"))).first()[0]
+        assert red == text
+        found = secret_scan.scan(df).select(F.col("spans").alias("sp"), F.lit(text).alias("text"))
+        assert found.select(secret_scan.redact(F.col("text"), F.col("sp"))).first()[0] == brute.redact(text, spans)
+        took.append(time.time() - began)
+    assert took[1] < 9 * took[0]
+
+
+def test_redact_against_brute_force(spark):
+    random.seed(8)
+    rows = []
+    for k in range(60):
+        text = "".join(random.choice("aé日😀 ") for _ in range(random.choice((0, 5, 30, 3000))))
+        cut = sorted(random.sample(range(len(text) + 1), min(len(text), 2 * random.randrange(6))))
+        spans = sorted((a, random.randrange(4), min(len(text), a + random.randrange(1, 60))) for a in cut[::2] if a < len(text))
+        rows.append((k, text, spans))
+    df = spark.createDataFrame(rows, "k int, text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = {r.k: r.t for r in df.select("k", secret_scan.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got == {k: brute.redact(t, s) for k, t, s in rows}
 
 
 def test_chat_query(spark):
