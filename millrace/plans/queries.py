@@ -17,7 +17,7 @@ JITTER = 10_800_000
 N_BUCKETS, N_PARTITIONS, N_WORKERS = 64, 6, 3
 FOLD_MS = 20_000
 #: State partitions of the streaming queries here, whose tables are small; a query's own number follows from its state.
-STATE_PARTITIONS = 8
+STATE_PARTITIONS = 4
 
 EV = """ev as (select cast(event_id as varchar) as event_id, 'user_' || user_id as key, event_type, value as amount,
   epoch_us(ts) // 1000 as event_time, event_id as eid from events)"""
