@@ -30,27 +30,30 @@ BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_="
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+def let(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def prefix(values: Column) -> Column:
     """Sums of the elements before each one. In two levels, blocks of about the square root, as an array that grows by one is copied each time."""
-    n = F.size(values)
-    block = F.greatest(F.ceil(F.sqrt(n.cast("double"))), F.lit(1)).cast("int")
     grow = lambda first: F.struct(first.cast("int").alias("at"), F.expr("cast(array() as array<int>)").alias("out"))
     add = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
     run = lambda xs, first: F.aggregate(xs, grow(first), add, lambda acc: acc["out"])
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(1), n, block), lambda k: F.slice(values, k, block))).otherwise(F.expr("cast(array() as array<array<int>>)"))
-    totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x))
-    return F.flatten(F.zip_with(blocks, run(totals, F.lit(0)), run))
+    size = lambda v: F.greatest(F.ceil(F.sqrt(F.size(v).cast("double"))), F.lit(1)).cast("int")
+    cut = lambda v: F.when(F.size(v) > 0, let(size(v), lambda n: F.transform(F.sequence(F.lit(1), F.size(v), n), lambda k: F.slice(v, k, n)))).otherwise(F.expr("cast(array() as array<array<int>>)"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda s, x: s + x)
+    return let(values, lambda v: let(cut(v), lambda blocks: F.flatten(F.zip_with(blocks, run(F.transform(blocks, total), F.lit(0)), run))))
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """array<struct<start, end, value>> of all matches: the lengths of what stands between them and of themselves, added up."""
     p = F.lit(pattern)
-    hits = F.regexp_extract_all(text, p, F.lit(0))
-    sized = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("len")))
-    before = prefix(F.transform(sized, lambda x: x["gap"] + x["len"]))
-    parts = F.arrays_zip(sized.alias("x"), before.alias("before"), F.regexp_extract_all(text, p, F.lit(group)).alias("value"))
+    sized = lambda hits: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("len")))
     start = lambda m: m["before"] + m["x"]["gap"]
-    return F.transform(parts, lambda m: F.struct(start(m).alias("start"), (start(m) + m["x"]["len"]).alias("end"), m["value"].alias("value")))
+    parts = lambda x, hits: F.arrays_zip(x.alias("x"), prefix(F.transform(x, lambda y: y["gap"] + y["len"])).alias("before"), (hits if group == 0 else F.regexp_extract_all(text, p, F.lit(group))).alias("value"))
+    found = lambda x, hits: F.transform(parts(x, hits), lambda m: F.struct(start(m).alias("start"), (start(m) + m["x"]["len"]).alias("end"), m["value"].alias("value")))
+    return let(F.regexp_extract_all(text, p, F.lit(0)), lambda hits: let(sized(hits), lambda x: found(x, hits)))
 
 
 def found(text: Column, kind: str, pattern: str, group: int, least: int, has: str) -> Column:
@@ -145,13 +148,13 @@ def pieces(tokens: Column, base: Column, kind: int = 3) -> Column:
     """What base spans leave of tokens (both arrays of structs with start and end), as spans of a kind. Between any two neighbouring ends of tokens and spans all is the same,
     so it is enough to count how many of each are open there."""
     ends = lambda xs, t, b: F.flatten(F.transform(xs, lambda x: F.array(F.struct(x["start"].alias("at"), F.lit(t).alias("t"), F.lit(b).alias("b")), F.struct(x["end"].alias("at"), F.lit(-t).alias("t"), F.lit(-b).alias("b")))))
-    marks = F.array_sort(F.concat(ends(tokens, 1, 0), ends(base, 0, 1)))
-    n = F.size(marks)
-    opened = F.arrays_zip(marks.alias("m"), prefix(F.transform(marks, lambda m: m["t"])).alias("t"), prefix(F.transform(marks, lambda m: m["b"])).alias("b"))
+    opened = lambda marks: F.arrays_zip(marks.alias("m"), prefix(F.transform(marks, lambda m: m["t"])).alias("t"), prefix(F.transform(marks, lambda m: m["b"])).alias("b"))
     # prefix() stops before the mark itself: what is open after mark k is what is open before mark k + 1
-    pairs = F.zip_with(F.slice(opened, F.lit(1), n - 1), F.slice(opened, F.lit(2), n - 1), lambda x, y: F.struct(x["m"]["at"].alias("start"), y["m"]["at"].alias("end"), (y["t"] > 0).alias("t"), (y["b"] == 0).alias("free")))
-    left = F.filter(pairs, lambda x: x["t"] & x["free"] & (x["start"] < x["end"]))
-    return F.when(n > 1, F.transform(left, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))).otherwise(F.array()).cast(f"array<{SPAN}>")
+    pair = lambda x, y: F.struct(x["m"]["at"].alias("start"), y["m"]["at"].alias("end"), (y["t"] > 0).alias("t"), (y["b"] == 0).alias("free"))
+    pairs = lambda o: F.when(F.size(o) > 1, F.zip_with(F.slice(o, F.lit(1), F.size(o) - 1), F.slice(o, F.lit(2), F.size(o) - 1), pair))
+    left = F.filter(let(let(F.array_sort(F.concat(ends(tokens, 1, 0), ends(base, 0, 1))), opened), pairs), lambda x: x["t"] & x["free"] & (x["start"] < x["end"]))
+    spans = F.transform(left, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
+    return F.coalesce(F.when(F.size(tokens) > 0, spans), F.array()).cast(f"array<{SPAN}>")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -184,22 +187,22 @@ PIECE = 1024
 def redact(text: Column, spans: Column) -> Column:
     """The text with each of the (sorted) spans replaced by [SECRET:kind]; of overlapping ones the first counts, and what sticks out of it goes too. Spans that meet without overlap stay two."""
     names = F.array(*map(F.lit, KINDS))
-    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def between(a: Column, b: Column) -> Column:
+    def between(chunks: Column, a: Column, b: Column) -> Column:
         """Code points a to b of the text."""
-        of = lambda k: F.substring(F.get(chunks, k.cast("int")), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
+        of = lambda k: F.substring(F.get(chunks, k), F.greatest(a - k * PIECE, F.lit(0)) + 1, F.least(b - k * PIECE, F.lit(PIECE)) - F.greatest(a - k * PIECE, F.lit(0)))
         return F.when(a < b, F.array_join(F.transform(F.sequence(F.floor(a / PIECE).cast("int"), F.floor((b - 1) / PIECE).cast("int")), of), "")).otherwise("")
 
     # a span is new if no span before it is open at its start; groups of overlapping spans have the first one's kind
-    ends = lambda xs: F.flatten(F.transform(xs, lambda x: F.array(F.struct(x["start"].alias("at"), F.lit(1).alias("d"), x["kind"].alias("kind")), F.struct(x["end"].alias("at"), F.lit(-1).alias("d"), F.lit(9).alias("kind")))))
-    marks = F.array_sort(ends(spans))  # ends come before starts at one place
-    opened = F.arrays_zip(marks.alias("m"), prefix(F.transform(marks, lambda m: m["d"])).alias("open"))
-    borders = F.filter(opened, lambda x: F.when(x["m"]["d"] > 0, x["open"] == 0).otherwise(x["open"] == 1))  # starts and ends of the groups by turns
-    n = F.size(borders)
-    first = F.filter(borders, lambda x, k: k % 2 == 0)
-    last = F.filter(borders, lambda x, k: k % 2 == 1)
-    before = F.concat(F.array(F.lit(0)), F.slice(F.transform(last, lambda x: x["m"]["at"]), F.lit(1), F.size(last) - 1))
-    kept = F.zip_with(before, first, lambda a, x: F.concat(between(a, x["m"]["at"]), F.lit("[SECRET:"), F.element_at(names, x["m"]["kind"] + 1), F.lit("]")))
-    end = F.element_at(last, -1)["m"]["at"]
-    return F.when(F.coalesce(n, F.lit(0)) > 0, F.concat(F.array_join(kept, ""), between(end, F.length(text)))).otherwise(text)
+    ends = F.flatten(F.transform(spans, lambda x: F.array(F.struct(x["start"].alias("at"), F.lit(1).alias("d"), x["kind"].alias("kind")), F.struct(x["end"].alias("at"), F.lit(-1).alias("d"), F.lit(9).alias("kind")))))
+    opened = lambda marks: F.arrays_zip(marks.alias("m"), prefix(F.transform(marks, lambda m: m["d"])).alias("open"))
+    borders = F.filter(let(F.array_sort(ends), opened), lambda x: F.when(x["m"]["d"] > 0, x["open"] == 0).otherwise(x["open"] == 1))  # starts and ends of the groups by turns; ends come first at one place
+
+    def write(bs: Column, chunks: Column) -> Column:
+        n = F.size(bs)
+        at = lambda k: F.get(bs, k)["m"]["at"]
+        mark = lambda k: F.concat(between(chunks, F.when(k > 0, at(k - 1)).otherwise(0), at(k)), F.lit("[SECRET:"), F.element_at(names, F.get(bs, k)["m"]["kind"] + 1), F.lit("]"))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 2, F.lit(2)), mark), ""), between(chunks, at(n - 1), F.length(text)))
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, let(borders, lambda bs: let(cut, lambda chunks: write(bs, chunks)))).otherwise(text)
