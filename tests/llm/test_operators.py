@@ -134,6 +134,51 @@ def test_chat_parts(spark):
     assert r.formatted[r.loss[0].start : r.loss[0].end] == "ok" and chat_format.read_back(rows[None].formatted) == [("", "")]
 
 
+def test_chat_odd_parts(spark):
+    """Malformed parts, string ids, turns that aren't numbers, clashing columns, a very long text, an empty table."""
+    common.bound_batches(spark)
+    bad = ["[1]", '[["x"]]', '{"type":"image"}', '[{"type":"image","width":"wide","height":1e999}]', '[{"type":"audio","seconds":"x"},{"type":"document","pages":-3,"ref":{"a":1}}]', "not JSON <|", None, "", "[]", "[null]", '[{"type":["image"]},{"text":"t"}]', '[{"type":"text","text":5}]', "[" * 100_000]
+    want = ["1", '["x"]', '{"type":"image"}', "<|image:0|>", "<|audio:0|><|document:1|>", "not JSON <|", "", "", "", "", '{"type": ["image"]}{"text": "t"}', "5", "[" * 100_000]
+    df = spark.createDataFrame([(f"c{k:02d}", "x", "user", t, "f", 1) for k, t in enumerate(bad)] + [("c99", "1", "user", LONG * 20, "f", 1)], "conv_id string, turn string, role string, content_json string, formatted string, loss int")
+    rows = {r.conv_id: r for r in chat_format.format_conversations(df, "content_json").collect()}
+    assert [chat_format.read_back(rows[f"c{k:02d}"].formatted) for k in range(len(bad))] == [[("user", t)] for t in want]
+    assert [a.tokens for a in rows["c03"].attachments] == [256] and [(a.tokens, a.ref) for a in rows["c04"].attachments] == [(1, None), (512, '{"a": 1}')]
+    assert chat_format.read_back(rows["c99"].formatted) == [("user", LONG * 20)]
+    empty = df.limit(0).withColumnRenamed("content_json", "text")
+    assert chat_format.digests(chat_format.format_conversations(empty)).count() == 0
+
+
+def vectors(texts):
+    """Groups of equal texts with their (bytes, words, rows)."""
+    out = {}
+    for t in texts:
+        t = t or ""
+        v = out.setdefault(t, [0, 0, 0])
+        for k, x in enumerate((len(t.encode()) + 1, t.count(" ") + 1, 1)):
+            v[k] += x
+    return out
+
+
+def best_fit(units, shards=8):
+    """Greedy by the dot product with what is left, the largest first, in plain Python. units: vectors."""
+    total = [max(sum(u[k] for u in units), 1) for k in range(3)]
+    v = [[u[k] / total[k] * sharding.WEIGHTS[k] for k in range(3)] for u in units]
+    left = [[w / shards for w in sharding.WEIGHTS] for _ in range(shards)]
+    out = [0] * len(units)
+    for k in sorted(range(len(v)), key=lambda k: (-sum(v[k]), k)):
+        dots = [sum(a * b for a, b in zip(x, v[k])) for x in left]
+        out[k] = s = dots.index(max(dots))
+        left[s] = [a - b for a, b in zip(left[s], v[k])]
+    return out
+
+
+def test_place_against_brute_force():
+    random.seed(3)
+    for _ in range(20):
+        units = [[random.randrange(1, 10**random.randrange(1, 6)) for _ in range(3)] for _ in range(200)]
+        assert sharding.place(np.array(units, float), 8).tolist() == best_fit(units)
+
+
 def test_sharding(spark, docs):
     rows = queries.op3_sharding(spark, SF).collect()
     assert sorted((r.doc_id, r.size) for r in rows) == sorted((i, len((t or "").encode()) + 1) for i, t in docs)
@@ -141,11 +186,49 @@ def test_sharding(spark, docs):
     assert all(sorted(r.slot for r in v) == list(range(len(v))) for v in by.values())
     sums = [sum(r.size for r in v) for v in by.values()]
     assert max(sums) - min(sums) <= 0.2 * np.mean(sums)
-    hot = [("copy " * 50) for _ in range(300)] + [f"own text {k}" * 9 for k in range(300)] + ODD
-    r = sharding.assign(odd(spark, hot)).collect()
-    sums = [sum(x.size for x in r if x.shard == s) for s in range(8)]
-    assert len(r) == len(hot) and len({(x.shard, x.slot) for x in r}) == len(hot) and max(sums[s] for s in range(8)) <= max(1.01 * len(LONG), 1.5 * np.mean(sums))
-    assert sharding.assign(odd(spark, ODD).limit(0)).count() == 0
+
+
+def test_sharding_groups(spark):
+    """Groups stay whole, each placed by its own vector; with cut, one that fills more than a shard doesn't upset the balance. Null and repeated ids."""
+    texts = ["copy " * 50] * 900 + [f"own text {k} " * (1 + k % 9) for k in range(300)] + ODD[:9]
+    df = odd(spark, texts).withColumn("doc_id", F.when(F.rand(5) < 0.5, F.lit(None)).otherwise(F.lit("same"))).withColumn("n_tokens", F.lit(3)).withColumn("size", F.lit("x"))
+    whole = sharding.assign(df.withColumn("doc_id", F.struct("doc_id", "text"))).collect()
+    assert len(whole) == len(texts) and len({(x.shard, x.slot) for x in whole}) == len(texts)
+    of = {}
+    for r in whole:
+        of.setdefault(r.doc_id.text or "", set()).add(r.shard)
+    assert all(len(s) == 1 for s in of.values())
+    v = vectors(texts)
+    # the order of ties is that of the text hashes
+    h = {r.text or "": (r.h1, r.h2) for r in df.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h1"), F.xxhash64(F.lit(7), F.coalesce("text", F.lit(""))).alias("h2")).collect()}
+    names = sorted(v, key=h.get)
+    total = [sum(x[k] for x in v.values()) for k in range(3)]
+    scaled = {t: [v[t][k] / total[k] * sharding.WEIGHTS[k] for k in range(3)] for t in names}
+    left = [[w / 8 for w in sharding.WEIGHTS] for _ in range(8)]
+    for t in sorted(names, key=lambda t: (-sum(scaled[t]), h[t])):  # each group in turn: none of the shards had a better dot product
+        dots, (s,) = [sum(a * b for a, b in zip(x, scaled[t])) for x in left], of[t]
+        assert dots[s] >= max(dots) - 1e-12
+        left[s] = [a - b for a, b in zip(left[s], scaled[t])]
+    cut = sharding.assign(df, cut=1.0)
+    assert cut.count() == len(texts) and cut.select("shard", "slot").distinct().count() == len(texts)
+    assert sharding.imbalance(cut).first().bytes < 0.1 < sharding.imbalance(sharding.assign(df)).first().bytes
+    assert {r.tokens for r in sharding.assign(df, tokens=F.col("n_tokens")).collect()} == {3}
+    assert sharding.assign(df.limit(0)).count() == 0
+
+
+def test_sharding_bundles(spark, monkeypatch):
+    """Most groups in bundles: still whole, slots gapless, shards balanced."""
+    monkeypatch.setattr(sharding, "LARGE", 20)
+    monkeypatch.setattr(sharding, "BUNDLES", 64)
+    texts = [f"text {k // 2} " * (1 + k // 2 % 40) for k in range(3000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    rows = sharding.assign(df).collect()
+    shard = {}
+    assert all(shard.setdefault(texts[r.doc_id], r.shard) == r.shard for r in rows)
+    by = {s: sorted(r.slot for r in rows if r.shard == s) for s in range(8)}
+    assert all(v == list(range(len(v))) for v in by.values())
+    sums = [sum(r.size for r in rows if r.shard == s) for s in range(8)]
+    assert max(sums) < 1.1 * np.mean(sums)
 
 
 def test_bpe_query(spark, docs):
