@@ -51,6 +51,7 @@ def op5_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, d: str) -> DataFrame:
+    bound_batches(spark)
     return url_filter.judge(read(spark, d, "pages").select("page_id", "url"), RULES).select("page_id", "judged.*")
 
 
@@ -86,7 +87,7 @@ QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_shardin
 
 UPPER, DOWN = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _FITS = [f"(host = '{h}' or host like '%.{h}') and starts_with(path, '{p}')" for _, h, p in RULES]
-_LONGEST = sorted(range(len(RULES)), key=lambda k: -len(RULES[k][1]) - len(RULES[k][2]))
+_LONGEST = sorted(range(len(RULES)), key=lambda k: (-len(RULES[k][1].split(".")), -len(RULES[k][2])))
 
 ORACLES = {
     "op6_url_filter": f"""with s as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), '{UPPER}', '{DOWN}'), '') as host,

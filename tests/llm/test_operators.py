@@ -359,6 +359,44 @@ def test_url_cases(spark):
     assert r["http://notexample.com/en/7"].rule == "com/en/" and r["http://com?/en/"].path == ""
 
 
+def longest(url, rules):
+    """Rule by rule: most host labels, then the longest path, then block."""
+    if url is None or "://" not in url:
+        return "", "", None, "allow"
+    rest = brute.re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1])
+    host, path = rest[1].translate(brute.LOW), rest[2]
+    fits = [(h.count("."), len(p), v == "block", h + p, v) for v, h, p in ((v, h.translate(brute.LOW), p) for v, h, p in rules) if host and (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[3:] if fits else (None, "allow"))
+
+
+@pytest.mark.parametrize("most", [500_000, 5])
+def test_url_rules_against_brute_force(spark, monkeypatch, most):
+    """Random rules with conflicts, by the trie and, where they are too many for it, by a join; repeated rows, clashing columns, an empty table."""
+    monkeypatch.setattr(url_filter, "MAX_RULES", most)
+    monkeypatch.setattr(common, "HEAVY", 5)
+    random.seed(2)
+    host = lambda: ".".join(random.choice(("a", "b", "Com", "x")) for _ in range(random.randrange(1, 5)))
+    path = lambda: "".join(random.choice(("/", "/a", "/ab", "b", "/a/")) for _ in range(random.randrange(4)))
+    rules = [(random.choice(("allow", "block")), host(), path()) for _ in range(150)]
+    urls = [f"http://{host()}{path()}{random.choice(('', '?q', '#f'))}" for _ in range(400)] + [None, "", "no scheme", "http://", "http:///a"] * 2
+    df = spark.createDataFrame([(k, u, "h", "v", "j") for k, u in enumerate(urls)], "k int, url string, host string, path string, judged string")
+    for given in (rules, spark.createDataFrame(rules, "verdict string, host string, path string")):
+        out = url_filter.judge(df, given)
+        got = {r.k: tuple(r.judged) for r in out.collect()}
+        assert got == {k: longest(u, rules) for k, u in enumerate(urls)}
+    assert url_filter.judge(df.limit(0), rules).count() == 0
+
+
+def test_url_long_segment():
+    """A long segment isn't copied prefix by prefix."""
+    import time
+
+    t = url_filter.Trie([("block", "a.b", "/x"), ("allow", "a.b", "/xy/z")])
+    began = time.time()
+    assert t.find("a.b", "/x" + "y" * 2_000_000) == ("block", "a.b/x") and t.find("a.b", "/" + "q" * 2_000_000) is None and t.find("c.a.b", "/xy/zz")[1] == "a.b/xy/z"
+    assert time.time() - began < 1
+
+
 def held(spark, name, column, mod, rest, sf="sf0.1", n=10_000):
     """(predicted, label) of the held-out labelled rows."""
     lab = dict(duck(f"/root/testdata/{sf}", f"select doc_id, {column} from labels")[1])
