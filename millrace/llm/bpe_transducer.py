@@ -4,7 +4,8 @@ The merges are compiled into a nondeterministic transducer over bytes: a configu
 written), and a token may follow another only if the merges keep the two apart. At each boundary one parse at most is alive, so the subset construction is
 deterministic; its states are made when first met. A token is written as soon as all configurations agree on it, after at most as many bytes as the longest token has.
 
-A state table or word memo that is full is dropped and built anew, which changes no result and bounds memory. Null and empty texts have no tokens.
+A state table or word memo that is full is dropped and built anew, which changes no result and bounds memory. Null and empty texts have no tokens; repeated rows get equal results, an empty table
+gives no rows, and a column named like the result is replaced by it. In decoding, bytes that can't be UTF-8, and ids that no token has, become U+FFFD, and null ids are passed over.
 """
 
 from __future__ import annotations
@@ -277,9 +278,14 @@ class StreamDecoder:
             text = m.push(raw)
             self.text_of.append(text if not m.want and "�" not in text else None)
 
-    def push(self, ids: Iterable[int]) -> str:
-        out, m = [], self.machine
+    def push(self, ids: Iterable[int | None]) -> str:
+        out, m, n = [], self.machine, len(self.text_of)
         for k in ids:
+            if k is None:
+                continue
+            if not 0 <= k < n or not self.bytes_of[k]:
+                out.append(m.end() + "\ufffd")
+                continue
             t = self.text_of[k]
             out.append(t if t is not None and not m.want else m.push(self.bytes_of[k]))
         return "".join(out)
@@ -287,7 +293,14 @@ class StreamDecoder:
     def end(self) -> str:
         return self.machine.end()
 
+    def fresh(self) -> StreamDecoder:
+        """Another one of the same tables, at its start."""
+        out = object.__new__(StreamDecoder)
+        out.bytes_of, out.text_of, out.machine = self.bytes_of, self.text_of, Utf8Machine()
+        return out
+
     def whole(self, ids: list[int]) -> str:
+        """All of a text at once, from ids that the encoder has made."""
         try:
             return "".join(map(self.text_of.__getitem__, ids))  # no token leaves the machine within a character
         except TypeError:
@@ -316,6 +329,22 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, into: str = "ids") -> Da
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))
 
 
+def decode(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", into: str = "text") -> DataFrame:
+    """Adds the text of a column of token ids, by the incremental machine; null ids give a null text."""
+    held = rows.sparkSession.sparkContext.broadcast(ranks)
+
+    @F.pandas_udf("string")
+    def run(lists: pd.Series) -> pd.Series:
+        make = machines(held.value, pattern)[1]
+        out = []
+        for x in lists:
+            d = make.fresh()
+            out.append(None if x is None else d.push(None if k is None or k != k else int(k) for k in x) + d.end())
+        return pd.Series(out, dtype=object)
+
+    return rows.withColumn(into, run.asNondeterministic()(F.col(ids).cast("array<bigint>")))
+
+
 def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", with_ids: bool = False) -> DataFrame:
     """Adds a struct (n_tokens, ids_sha256, decoded_sha256, and ids if asked for) of each whole text: encoded, then decoded again from the ids alone."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -327,10 +356,12 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", w
         for texts in batches:
             rows = []
             gc.disable()  # the tables hold no cycles, and passing over them costs more than all else
-            for t in texts:
-                ids = e.encode(t)
-                rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(d.whole(ids).encode("utf-8", "surrogatepass")), *[ids] * with_ids))
-            gc.enable()
+            try:
+                for t in texts:
+                    ids = e.encode(t)
+                    rows.append((len(ids), sha(",".join(map(names.__getitem__, ids)).encode()), sha(d.whole(ids).encode("utf-8", "surrogatepass")), *[ids] * with_ids))
+            finally:
+                gc.enable()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))

@@ -257,6 +257,25 @@ def test_bpe_query(spark, docs):
     assert base64.b64encode(d.bytes_of[0])
 
 
+def test_bpe_decode(spark, docs):
+    """The incremental decoder, token by token, over all documents; the column operator; ids that no token has."""
+    raw, pattern = queries.tokenizer()
+    e, d, _ = bpe_transducer.machines(raw, pattern)
+    for _, t in docs:
+        one, ids = d.fresh(), e.encode(t)
+        assert "".join(one.push([k]) for k in ids) + one.end() == (t or "") == d.whole(ids)
+    common.bound_batches(spark)
+    df = odd(spark, ODD).withColumn("ids", F.lit("clash"))
+    coded = bpe_transducer.encode(df, raw, pattern)  # a column named ids is replaced
+    back = bpe_transducer.decode(coded.withColumnRenamed("text", "was"), raw, pattern)
+    assert sorted((r.was or "", r.text) for r in back.collect()) == sorted((t or "", t or "") for t in ODD)
+    a, (first, *rest) = e.encode("a")[0], [e.machine.ranks[bytes([x])] for x in "é".encode()]
+    rows = [([a, -1, a],), ([10**12],), ([first],), ([first, a],), ([first, *rest],), ([first, -5, *rest],), ([a, None, a],), ([],), (None,)]
+    got = bpe_transducer.decode(spark.createDataFrame(rows, "ids array<bigint>"), raw, pattern).collect()
+    assert [r.text for r in got] == ["a\ufffda", "\ufffd", "\ufffd", "\ufffda", "é", "\ufffd\ufffd\ufffd", "aa", "", None]
+    assert bpe_transducer.round_trip(df.limit(0), raw, pattern).count() == 0
+
+
 def test_jaccard_query(spark, docs):
     assert got(spark, "op5_jaccard_join", ["doc_id", "n_shingles", "component_id"]) == sorted(brute.op5(docs))
 
