@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import kept
 
-MAX_STATES, MAX_WORDS, MAX_WORD = 60_000, 300_000, 64
+MAX_STATES, MAX_WORDS, MAX_WORD = 120_000, 450_000, 64
 START, ROOT, NEVER = -1, 0, 1 << 60
 
 
