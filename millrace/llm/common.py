@@ -140,9 +140,12 @@ def class_share(labels: DataFrame, column: str) -> float:
 BROADCAST_ROWS = 1_000_000
 
 
-def bounded(keys: DataFrame) -> DataFrame:
-    """The (staged) keys, marked for broadcast if they are few enough."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+def bounded(keys: DataFrame, weight: Column | None = None) -> DataFrame:
+    """The (staged) keys, marked for broadcast if they are few enough. weight: what a row counts for, where rows hold lists."""
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few and weight is not None:
+        few = (keys.agg(F.sum(weight.cast("bigint"))).first()[0] or 0) <= BROADCAST_ROWS
+    return F.broadcast(keys) if few else keys
 
 
 #: A key with more than 1 / HEAVY of all rows is heavy: at most HEAVY keys can be.
