@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import bpe_transducer, decontaminate, jaccard_join, secret_scan, zstd_quality
-from millrace.llm.common import bound_batches, bounded, held_out, read, stage
+from millrace.llm.common import bound_batches, bounded, held_out, read, stage, unstage
 from millrace.llm.queries import tokenizer
 
 #: Near duplicates: words in a shingle, and the least similarity in percent.
@@ -65,11 +65,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What the secret scan (operator 1) finds is replaced in the text, and n_chars follows."""
     found = secret_scan.scan(keyed(docs)).where(F.size("spans") > 0).select("doc_id.*", F.col("spans").alias("_spans")).dropDuplicates(["id", "hash"])
-    f = bounded(stage(found.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "_spans"), "pipeline-spans"))
-    joined = docs.join(f, docs.doc_id.eqNullSafe(f._id) & (text_key(docs) == f._hash), "left")
-    text = F.when(F.col("_spans").isNull(), docs.text).otherwise(secret_scan.redact(docs.text, F.col("_spans")))
-    out = joined.withColumn("_new", text)
-    changed = {"text": F.col("_new")} | ({"n_chars": F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("_new"))} if "n_chars" in docs.columns else {})
+    f = bounded(stage(found.select(F.col("id").alias("_pipeline_id"), F.col("hash").alias("_pipeline_hash"), F.col("_spans").alias("_pipeline_spans")), "pipeline-spans"), F.size("_pipeline_spans"))
+    joined = docs.join(f, docs.doc_id.eqNullSafe(f._pipeline_id) & (text_key(docs) == f._pipeline_hash), "left")
+    clean = F.col("_pipeline_spans").isNull()
+    out = joined.withColumn("_pipeline_text", F.when(clean, docs.text).otherwise(secret_scan.redact(docs.text, F.col("_pipeline_spans"))))
+    changed = {"text": F.col("_pipeline_text")} | ({"n_chars": F.when(clean, F.col("n_chars")).otherwise(F.length("_pipeline_text"))} if "n_chars" in docs.columns else {})
     return out.withColumns(changed).select(*docs.columns)
 
 
@@ -84,11 +84,13 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmar
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn. A stage's table goes once the next one's is written."""
     docs = read(spark, sf_dir, "documents")
     for k, (name, f) in enumerate(STAGES):
-        docs = f(spark, docs, sf_dir)
+        before, docs = docs, f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stage(docs, f"pipeline-{name}")
+            unstage(before)
     return docs
 
 
