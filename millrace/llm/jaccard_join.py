@@ -54,6 +54,7 @@ def powers(n: int) -> list[np.ndarray]:
 
 
 def chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
+    """Texts in lists of about CHUNK bytes; a longer one is alone in its list."""
     out, size = [], 0
     for t in texts:
         raw = (t or "").encode("utf-8", "surrogatepass")
@@ -66,19 +67,55 @@ def chunks(texts: list[str | None]) -> Iterator[list[bytes]]:
         yield out
 
 
+def spelled(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and polynomial value of each run of bytes that aren't spaces, and which bytes are spaces."""
+    up, down = powers(len(raw))
+    space = SPACE[raw]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    total = np.concatenate([[np.uint64(0)], np.cumsum((LOWER[raw] + np.uint64(1)) * up[: len(raw)])])
+    return start, end, (total[end] - total[start]) * down[np.minimum(start, len(raw) - 1)], space
+
+
+def finished(value: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix(value + length.astype(np.uint64) * MIX2)
+
+
+def long_words(raw: bytes) -> np.ndarray:
+    """Hashes of the words of a text of any length, in blocks: a word that goes on in the next block is carried over."""
+    out, value, length = [], 0, 0
+    for k in range(0, len(raw), CHUNK):
+        block = np.frombuffer(raw, np.uint8, min(CHUNK, len(raw) - k), k)
+        start, end, values, space = spelled(block)
+        lengths, last = end - start, 0 if len(space) and space[-1] else 1
+        if length and len(start) and start[0] == 0:
+            value, length = (value + int(values[0]) * pow(BASE, length, 1 << 64)) & (1 << 64) - 1, length + int(lengths[0])
+            values, lengths = values[1:], lengths[1:]
+            if last and not len(values):
+                continue  # the word goes on
+        if length:
+            out.append(finished(np.array([value], np.uint64), np.array([length])))
+            length = 0
+        if last and len(values):
+            value, length, values, lengths = int(values[-1]), int(lengths[-1]), values[:-1], lengths[:-1]
+        out.append(finished(values, lengths))
+    if length:
+        out.append(finished(np.array([value], np.uint64), np.array([length])))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def sets(texts: list[str | None], n: int) -> Iterator[np.ndarray]:
     """For each text its sorted distinct shingle hashes."""
     for part in chunks(texts):
-        raw = np.frombuffer(b" ".join(part) + b" ", np.uint8)
-        up, down = powers(len(raw))
-        space = SPACE[raw]
-        edge = np.flatnonzero(np.diff(np.concatenate([[True], space]).view(np.int8)))
-        start, end = edge[::2], edge[1::2]
-        total = np.concatenate([[np.uint64(0)], np.cumsum((LOWER[raw] + np.uint64(1)) * up[: len(raw)])])
-        word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * MIX2)
-        size = np.array([len(x) for x in part], np.int64) + 1
-        last = np.cumsum(size)
-        first_word, after_word = np.searchsorted(start, last - size), np.searchsorted(start, last)
+        if len(part) == 1 and len(part[0]) > CHUNK:
+            word = long_words(part[0])
+            first_word, after_word = np.zeros(1, np.int64), np.array([len(word)])
+        else:
+            start, end, values, _ = spelled(np.frombuffer(b" ".join(part) + b" ", np.uint8))
+            word = finished(values, end - start)
+            size = np.array([len(x) for x in part], np.int64) + 1
+            last = np.cumsum(size)
+            first_word, after_word = np.searchsorted(start, last - size), np.searchsorted(start, last)
         m = len(word) - n + 1
         code = np.zeros(max(m, 0), np.uint64)
         for k in range(n):

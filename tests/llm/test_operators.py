@@ -301,6 +301,16 @@ def test_jaccard_cases(spark):
     assert jaccard_join.join(df.limit(0), 4, 85).count() == 0
 
 
+def test_jaccard_long_texts(monkeypatch):
+    """Texts longer than a block have the same words as in one piece, wherever the blocks end."""
+    random.seed(1)
+    texts = ["".join(random.choice("ab  \né") for _ in range(random.randrange(400))) for _ in range(200)] + ["x" * 300, " " * 300, "y" * 128 + " " + "z" * 127, ""]
+    whole = [s.tolist() for s in jaccard_join.sets(texts, 3)]
+    for size in (7, 64):
+        monkeypatch.setattr(jaccard_join, "CHUNK", size)
+        assert [s.tolist() for s in jaccard_join.sets(texts, 3)] == whole
+
+
 def near_copies():
     """Copies with changed words, exact copies, texts that share a passage, short and empty ones."""
     random.seed(6)

@@ -32,6 +32,13 @@ def test_odd_rows(spark):
     assert cp.near_duplicates(spark, df, SF).columns == df.columns
     assert cp.secrets(spark, df, SF).where("text like '%SECRET%'").count() == 1
     assert cp.benchmark(spark, df, SF).count() == df.count()
+    for f in (cp.quality, cp.tokens):
+        out = f(spark, df, SF)
+        assert (out.columns == df.columns) if f is cp.quality else out.count() == df.count()
+    kept = cp.quality(spark, df, "/root/testdata/sf0.01")  # rows with equal texts have equal fates
+    fate = {t: {r.text for r in kept.collect() if r.text == t} != set() for t in texts}
+    assert kept.count() == sum(fate[t] for t in texts) + (kept.where("text = 'null id'").count())
+    assert sorted((str(r.doc_id), r.n_tokens > 0) for r in cp.tokens(spark, df, SF).collect()) == sorted([(str(k % 4), bool(t)) for k, t in enumerate(texts)] + [("None", True)])
     empty = df.limit(0)
     for _, f in cp.STAGES:
         assert f(spark, empty, SF).count() == 0
