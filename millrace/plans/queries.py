@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -61,9 +63,16 @@ REPLAY = f"""with {EV}, {WIN}, {CK}, rep as (select key, window_start, checkpoin
 
 
 def base_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share, where one is set; it is the caller's to remove."""
+    """A new folder below the one that driver and executors share (spark.checkpoint.dir); there it is the caller's to remove. Where none is set and all is one process, a folder of our own, removed at the end."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.gettempdir()).rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    if shared:
+        return f"{shared.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="millrace-")
+    atexit.register(shutil.rmtree, own, True)
+    return f"file://{own}/base"
 
 
 def stream_source(own: SparkSession, d: str) -> DataFrame:

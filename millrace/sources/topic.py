@@ -26,7 +26,12 @@ def stream_topic(spark: SparkSession, path: str, files_per_batch: int | None = N
     return decode(r.format("text").load(path), stamp=True, keep=("partition",))
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str = "earliest") -> DataFrame:
-    """Needs the Kafka connector on the class path; starting counts only where there is no checkpoint."""
+def from_kafka(raw: DataFrame) -> DataFrame:
+    """Events of the connector's rows, with their partition and offset."""
+    return decode(raw.select(F.col("value").cast("string").alias("value"), "partition", "offset"), stamp=True, keep=("partition", "offset"))
+
+
+def stream_kafka(spark: SparkSession, servers: str, topic: str, starting: str = "earliest", per_batch: int | None = None) -> DataFrame:
+    """Needs the Kafka connector on the class path; starting (earliest or latest) counts only where there is no checkpoint."""
     r = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", starting)
-    return decode(r.load().select(F.col("value").cast("string").alias("value"), "partition", "offset"), stamp=True, keep=("partition", "offset"))
+    return from_kafka((r.option("maxOffsetsPerTrigger", per_batch) if per_batch else r).load())

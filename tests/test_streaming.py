@@ -368,6 +368,27 @@ def test_partition_log_blocks(spark, tmp_path, monkeypatch):
     assert [x.decode() for part in partition_log.whole_lines(str(tmp_path), 0, after, after + 19) for x in part] == lines[3:4]
 
 
+def test_paced_generator(spark, tmp_path):
+    """The stream draws what the batch draws for the same ids; event times are now, less the skew."""
+    src, base = paths(tmp_path, "ckpt", "out")
+    before = time.time() * 1000
+    q = generator.stream(spark, 200, 30, 5000, 7).writeStream.format("parquet").option("checkpointLocation", src).option("path", base).trigger(processingTime="500 milliseconds").start()
+    wait(lambda: sum(p["numInputRows"] for p in q.recentProgress) >= 200)
+    q.stop()
+    got = {r.event_id: r for r in spark.read.schema(EVENT).parquet(base).collect()}
+    want = {r.event_id: r for r in generator.generate(spark, 100_000, 30, 5000, 7).collect()}
+    assert len(got) >= 200 and all((want[i].key, want[i].event_type, want[i].amount) == (r.key, r.event_type, r.amount) for i, r in got.items())
+    assert all(before - 7000 <= r.event_time <= time.time() * 1000 for r in got.values())
+
+
+def test_kafka_rows(spark):
+    """Rows as the connector gives them."""
+    schema = "key binary, value binary, topic string, partition int, offset bigint, timestamp timestamp, timestampType int"
+    rows = [(b"k", v, "t", 1, n, None, 0) for n, v in enumerate((b'{"key":"a","amount":2}', b"\xff", None, b'{"key":7}'))]
+    got = topic.from_kafka(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.partition, r.offset, r.key, r.amount) for r in got] == [(1, 0, "a", 2.0)] and got[0].ingest_time > 1_700_000_000_000
+
+
 def test_offsets_of_several_topics(spark, tmp_path):
     os.makedirs(tmp_path / "offsets")
     (tmp_path / "offsets/3").write_text("v1\n" + json.dumps({}) + "\n" + json.dumps({"a": {"0": 5, "1": 6}, "b": {"0": 7}}) + "\n" + json.dumps({"logOffset": 9}))
