@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import parse, routing, windows
 from ..operators import metrics, views
-from ..sources import partition_log, tables
+from ..sources import generator, partition_log, tables
 from ..streaming import commit, lakehouse, query
 
 DAY = 86_400_000
@@ -130,6 +130,32 @@ def compacted(spark: SparkSession, d: str) -> DataFrame:
     return shown(views.first_wins(commit.committed(spark, base), ["checkpoint_id"]))
 
 
+def open_state(spark: SparkSession, d: str) -> DataFrame:
+    """What the streaming query holds in state at its end: the open windows by key and type."""
+    tables.pin_utc(spark)
+    own, base, ckpt = query.session(spark, STATE_PARTITIONS), base_dir(spark), base_dir(spark)
+    query.start(stream_source(own, d), base, ckpt, DAY).awaitTermination()
+    s = query.state(own, ckpt)
+    return s.select("key", "window_start", "event_type", F.col("n").alias("count"), views.cents(F.col("s")).alias("sum_cents"))
+
+
+def counters(spark: SparkSession, d: str) -> DataFrame:
+    """Counters over the micro-batches of a run."""
+    tables.pin_utc(spark)
+    own, base, ckpt = query.session(spark, STATE_PARTITIONS), base_dir(spark), base_dir(spark)
+    q = query.start(stream_source(own, d), base, ckpt, DAY)
+    q.awaitTermination()
+    return metrics.scrape(spark, [query.progress(p) for p in q.recentProgress]).select("events_consumed", "events_late")
+
+
+def generated(spark: SparkSession, d: str) -> DataFrame:
+    """What a seeded run of the generator must be like."""
+    e = generator.generate(spark, 20_000, 50, 3000, 7)
+    skew = F.lit(1_700_000_000_000) - F.col("event_time")  # at most, as later events happen later
+    return e.agg(F.count(F.lit(1)).alias("events"), F.countDistinct("event_id").alias("ids"), F.countDistinct("key").alias("keys"), F.countDistinct("event_type").alias("types"),
+                 F.sum((~F.col("amount").between(0, 99.99) | (skew > 3000)).cast("bigint")).alias("outside"))
+
+
 def shown_back(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sum_amount", F.col("sum_cents") / 100)
 
@@ -259,6 +285,10 @@ QUERIES = {
     "latest_checkpoint": lambda s, d: s.createDataFrame([(commit.latest(s, stream_run(s, d, True)),)], "latest bigint"),
     "lakehouse_snapshots": lambda s, d: lakehouse.snapshots(s, lake(s, d)),
     "lakehouse_as_of_first": lambda s, d: shown(lakehouse.as_of(s, lake(s, d), 1)),
+    "lakehouse_current": lambda s, d: s.createDataFrame([(lakehouse.current(s, lake(s, d)),)], "current bigint"),
+    "open_state": lambda s, d: open_state(s, d),
+    "stream_counters": lambda s, d: counters(s, d),
+    "generator_shape": lambda s, d: generated(s, d),
     "lakehouse_report": lambda s, d: lakehouse.report(s, lake(s, d)),
 }
 
@@ -319,6 +349,10 @@ ORACLES = {
     "lakehouse_snapshots": f"""with {EV}, {WIN}, g as (select case when window_end <= {CLOSED} then 1 else 2 end as checkpoint_id, count(*) as added_rows from win group by 1)
       select cast(row_number() over (order by checkpoint_id) as integer) as sequence, checkpoint_id::bigint as checkpoint_id, added_rows, cast(sum(added_rows) over (order by checkpoint_id) as bigint) as total_rows from g""",
     "lakehouse_as_of_first": f"with {EV}, {WIN} select {ROW} from win where window_end <= {CLOSED}",
+    "lakehouse_current": "select 2::bigint as current",
+    "open_state": f"with {EV} select key, event_time - event_time % {DAY} as window_start, event_type, count(*) as \"count\", cast(round(sum(amount) * 100) as bigint) as sum_cents from ev where event_time - event_time % {DAY} + {DAY} > {CLOSED} group by 1, 2, 3",
+    "stream_counters": "select count(*) as events_consumed, 0::bigint as events_late from events",
+    "generator_shape": "select 20000::bigint as events, 20000::bigint as ids, 50::bigint as keys, 5::bigint as types, 0::bigint as outside",
     "lakehouse_report": f"with {EV}, {WIN} select count(*) filter (where window_end <= {CLOSED}) as first_rows, count(*) as last_rows, count(*) filter (where window_end > {CLOSED}) as difference from win",
     "throughput_rate": f"with {EV} select event_time - event_time % 3600000 as window_start, count(*) as n_events, count(*) / cast(3600.0 as double) as per_second from ev group by 1",
     "json_roundtrip": f"with {EV} select event_id, key, event_type, amount, event_time, cast(0 as bigint) as ingest_time from ev",

@@ -79,8 +79,9 @@ def publish(rows: Callable[[int], DataFrame], spark: SparkSession, base: str, ep
         return cid
 
 
-def sink(base: str, checkpoint: str, size_ms: int, fault: Callable[[int], None] | None = None, mode: str = "staged", worker: str = "worker-0") -> Callable[[DataFrame, int], None]:
+def sink(base: str, checkpoint: str, size_ms: int, fault: Callable[[int], None] | None = None, mode: str = "staged", worker: str = "worker-0", compact_every: int | None = None) -> Callable[[DataFrame, int], None]:
     """mode staged: rows count from their commit on, once. direct: rows are appended to <base>/<worker> at once and count as they are there; an epoch that runs again comes again.
+    compact_every: after so many commits the older ones are rolled up, so that readers plan with few files however long the query runs.
     fault, for tests, is called between the files and their manifest."""
 
     def by_type(batch: DataFrame) -> DataFrame:
@@ -88,7 +89,9 @@ def sink(base: str, checkpoint: str, size_ms: int, fault: Callable[[int], None]
 
     def staged(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        publish(lambda cid: to_rows(by_type(batch), size_ms, cid), spark, base, epoch, offsets_of(spark, checkpoint, epoch), {"0": f"{checkpoint}/state/0@{epoch + 1}"}, fault)
+        cid = publish(lambda cid: to_rows(by_type(batch), size_ms, cid), spark, base, epoch, offsets_of(spark, checkpoint, epoch), {"0": f"{checkpoint}/state/0@{epoch + 1}"}, fault)
+        if cid and compact_every and cid % compact_every == 0:
+            commit.compact(spark, base)
 
     def direct(batch: DataFrame, epoch: int) -> None:
         rows = to_rows(by_type(batch), size_ms, 0).persist()
@@ -103,12 +106,12 @@ def sink(base: str, checkpoint: str, size_ms: int, fault: Callable[[int], None]
     return {"staged": staged, "direct": direct}[mode]
 
 
-def start(events: DataFrame, base: str, checkpoint: str, size_ms: int, lateness_ms: int = LATENESS_MS, trigger: dict | None = None, fault: Callable[[int], None] | None = None, mode: str = "staged", worker: str = "worker-0", ts: str = "event_time") -> StreamingQuery:
+def start(events: DataFrame, base: str, checkpoint: str, size_ms: int, lateness_ms: int = LATENESS_MS, trigger: dict | None = None, fault: Callable[[int], None] | None = None, mode: str = "staged", worker: str = "worker-0", ts: str = "event_time", compact_every: int | None = None) -> StreamingQuery:
     """A restart with the same checkpoint goes on from its offsets, state and watermark. events should come from a session() of the query's own."""
     return (
         aggregate(events, size_ms, lateness_ms, ts).writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True}))
-        .foreachBatch(sink(base, checkpoint, size_ms, fault, mode, worker)).start()
+        .foreachBatch(sink(base, checkpoint, size_ms, fault, mode, worker, compact_every)).start()
     )
 
 
@@ -117,14 +120,18 @@ def last_batch(spark: SparkSession, checkpoint: str) -> int | None:
     return max((int(n) for n in commit.names(spark, f"{checkpoint}/commits") if n.isdigit()), default=None)
 
 
+def state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """Open windows by key and type as of the last micro-batch that has ended."""
+    return _by_place(spark.read.format("statestore").option("batchId", last_batch(spark, checkpoint)).load(checkpoint))
+
+
 def finalize(spark: SparkSession, base: str, checkpoint: str, size_ms: int) -> int | None:
     """Publishes the windows left in state as the next commit. State stays: if the query goes on, these windows come again under later commits and first-wins hides them.
     A repeat on the same state replaces what it published before. Returns the commit's id."""
     batch = last_batch(spark, checkpoint)
     if batch is None:
         return None
-    s = _by_place(spark.read.format("statestore").option("batchId", batch).load(checkpoint))
-    return publish(lambda cid: to_rows(s, size_ms, cid), spark, base, -batch - 1, offsets_of(spark, checkpoint, batch), {"0": f"{checkpoint}/state/0@{batch + 1}"})
+    return publish(lambda cid: to_rows(state(spark, checkpoint), size_ms, cid), spark, base, -batch - 1, offsets_of(spark, checkpoint, batch), {"0": f"{checkpoint}/state/0@{batch + 1}"})
 
 
 def _by_place(s: DataFrame) -> DataFrame:
@@ -192,8 +199,14 @@ def supervise(make: Callable[[], StreamingQuery], attempts: int = 5, pause_s: fl
     return attempts
 
 
+def progress(p) -> dict:
+    """Rows in, rate, duration, rows behind the watermark, and the watermark, of one micro-batch's progress."""
+    return {"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "duration_ms": dict(p.durationMs).get("triggerExecution", 0),
+            "dropped": sum(s.numRowsDroppedByWatermark for s in p.stateOperators), "watermark": dict(p.eventTime).get("watermark")}
+
+
 class Progress(StreamingQueryListener):
-    """Keeps rows in, rate, duration, rows behind the watermark, and the watermark, of each micro-batch."""
+    """Keeps the progress of the last micro-batches."""
 
     def __init__(self, keep: int = 1000):
         self.seen: list[dict] = []
@@ -203,10 +216,7 @@ class Progress(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event) -> None:
-        p = event.progress
-        one = {"batch": p.batchId, "rows": p.numInputRows, "per_second": p.processedRowsPerSecond, "duration_ms": dict(p.durationMs).get("triggerExecution", 0),
-               "dropped": sum(s.numRowsDroppedByWatermark for s in p.stateOperators), "watermark": dict(p.eventTime).get("watermark")}
-        self.seen = [*self.seen, one][-self.keep :]
+        self.seen = [*self.seen, progress(event.progress)][-self.keep :]
 
     def onQueryIdle(self, event) -> None:
         pass

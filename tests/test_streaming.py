@@ -208,6 +208,21 @@ def test_a_run_goes_on_after_the_finalizer(spark, tmp_path):
     assert [r.checkpoint_id for r in commit.manifests(spark, base).collect()] == [1, 2]
 
 
+def test_commits_are_rolled_up_on_the_way(spark, tmp_path):
+    src, base, ckpt = paths(tmp_path, "topic", "out", "ckpt")
+    own = query.session(spark, 2)
+    e = generator.generate(spark, 1800, 5, 0, 5, eps=100)
+    for k in range(18):
+        topic.write_topic(e.where(F.floor((F.col("event_time") - 1_700_000_000_000) / 1000) == k).coalesce(1), src, 1)
+    query.start(topic.stream_topic(own, src, 1), base, ckpt, 1000, 0, compact_every=4).awaitTermination()
+    query.finalize(own, base, ckpt, 1000)
+    one, rolled = commit.listing(spark, base)
+    assert len(rolled) == 1 and len(one) < 15 and commit.latest(spark, base) >= 16
+    ids = [r[0] for r in commit.ids(spark, base).collect()]
+    assert ids == list(range(1, len(ids) + 1)) and rollup(commit.committed(spark, base)) == rollup(windows.windowed_agg(e, 1000))
+    assert views.duplicates(commit.committed(spark, base)).first().duplicates == 0
+
+
 def test_direct_mode_is_at_least_once(spark, tmp_path):
     """Rows count at once; an epoch that fails after its rows and runs again comes twice; an empty batch writes nothing."""
     e = generator.generate(spark, 500, 20, 0, 5, eps=100)
