@@ -118,7 +118,7 @@ def ids(spark: SparkSession, base: str) -> DataFrame:
 
 
 def latest(spark: SparkSession, base: str) -> int | None:
-    """From the names alone: the last commit is never rolled up."""
+    """From the names alone; the last commit's manifest stays even when it is rolled up."""
     return next_id(spark, base) - 1 or None
 
 
@@ -156,7 +156,8 @@ def compact(spark: SparkSession, base: str, keep: int = 10) -> int:
 
 
 def vacuum(spark: SparkSession, base: str, older_ms: int = 86_400_000) -> int:
-    """Removes folders of attempts that no manifest names and that are older than older_ms, when no reader has them open any more. Returns how many."""
+    """Removes folders of attempts that no manifest names, manifests that a roll-up covers (but the last), and roll-ups that a wider one covers, if older than older_ms: no reader should have them open any more.
+    Returns how many folders."""
     named = {p for r in manifests(spark, base).select("staged_outputs").toLocalIterator() for p in r[0]}
     n, limit = 0, time.time() * 1000 - older_ms
     for top in names(spark, base):
@@ -167,6 +168,14 @@ def vacuum(spark: SparkSession, base: str, older_ms: int = 86_400_000) -> int:
             if attempt.startswith("attempt=") and f"{top}/{attempt}" not in named and fs.getFileStatus(p).getModificationTime() <= limit:
                 fs.delete(p, True)
                 n += 1
+    live, wide = listing(spark, base)
+    counts = {p.rsplit("/", 1)[1] for _, p in live.values()} | {p.rsplit("/", 1)[1] for p in wide}
+    last = max((int(m[1]) for x in names(spark, f"{base}/_commits") if (m := NAME.match(x))), default=0)
+    for x in names(spark, f"{base}/_commits"):
+        one = NAME.match(x)
+        _, p, fs = _fs(spark, f"{base}/_commits/{x}")
+        if x not in counts and (one and int(one[1]) < last or ROLLED.match(x)) and fs.getFileStatus(p).getModificationTime() <= limit:
+            fs.delete(p, False)
     return n
 
 

@@ -176,7 +176,8 @@ def test_crash_between_files_and_manifest(spark, tmp_path):
     assert [r[0] for r in commit.ids(spark, base).collect()] == ids and commit.committed(spark, base, 1).count() == as_of and rollup(commit.committed(spark, base)) == want
     assert len(commit.listing(spark, base)[0]) == 1 and commit.latest(spark, base) == before
     assert commit.vacuum(spark, base) == 0 and commit.vacuum(spark, base, 0) >= len(ids)
-    assert rollup(commit.committed(spark, base)) == want
+    assert rollup(commit.committed(spark, base)) == want and [r[0] for r in commit.ids(spark, base).collect()] == ids
+    assert len(commit.names(spark, f"{base}/_commits")) == 2 and commit.latest(spark, base) == before
 
 
 def test_commit_folder_without_manifest(spark, tmp_path):
