@@ -327,7 +327,7 @@ class Candidates:
         clash = frozenset(r[0] for r in sets_.where("clash").select("fp").collect())  # of 10^10 sets about three
         if clash:
             unstage(sets_)
-            rows = stage(rows.withColumn("fp", F.when(F.col("fp").isin(*clash) if len(clash) < 100 else F.col("fp").isin(list(clash)), F.col("other")).otherwise(F.col("fp"))), "jaccard-rows")
+            rows = stage(rows.withColumn("fp", F.when(F.col("fp").isin(list(clash)), F.col("other")).otherwise(F.col("fp"))), "jaccard-rows")
             sets_ = stage(rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash")), "jaccard-sets")
             self.staged.append(rows)
         self.rows, self.sets = rows.select("doc_id", "fp", "n"), sets_
@@ -337,7 +337,7 @@ class Candidates:
         self.lists = stage(in_lists.withColumn("m", F.col("n") - F.col("place")), "jaccard-lists")
         unstage(held)
         texts = stage(self.sets.join(self.members.select("fp").distinct(), "fp", "left_semi").select("text_hash").distinct(), "jaccard-texts")
-        whole = spread_join(docs.select("text", text_hash().alias("text_hash")), texts, "text_hash", "left_semi")
+        whole = spread_join(docs.select("text", text_hash().alias("text_hash")), texts, "text_hash", "left_semi", by=seen.where("token is null").select("text_hash"))
         self.tokens = stage(whole_sets(whole, n, mask, clash).dropDuplicates(["fp"]), "jaccard-tokens")
         unstage(texts)
         self.staged += [sets_, self.members, self.lists, self.tokens]
