@@ -21,7 +21,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import kept
+from .common import kept, let_go, trim
 
 MAX_STATES, MAX_WORDS, MAX_WORD = 120_000, 450_000, 64
 START, ROOT, NEVER = -1, 0, 1 << 60
@@ -86,7 +86,7 @@ class Transducer:
         key = a << 32 | b
         if (ok := self.apart.get(key)) is not None:
             return ok
-        if len(self.apart) > 8 * self.max_states:
+        if len(self.apart) > 4 * self.max_states:
             self.apart.clear()
         left, right, ranks = self.right[a], self.left[b], self.ranks
         i = j = 0
@@ -186,16 +186,16 @@ class Transducer:
 class Words(dict):
     """Memo of the transducer's results for short words, in two generations: when the young one is full it becomes the old one, and what is still met moves back."""
 
-    def __init__(self, machine: Transducer):
+    def __init__(self, machine: Transducer, most: int = MAX_WORDS):
         super().__init__()
-        self.machine, self.old = machine, {}
+        self.machine, self.most, self.old = machine, most, {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         out = self.old.get(word)
         if out is None:
             out = tuple(self.machine.encode(word.encode("utf-8", "surrogatepass")))
         if len(word) <= MAX_WORD:
-            if len(self) >= MAX_WORDS:
+            if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
             self[word] = out
@@ -214,9 +214,9 @@ def latin_pattern(pattern: str) -> str:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine = Transducer(ranks)
-        self.words = Words(self.machine)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, states: int = MAX_STATES, words: int = MAX_WORDS):
+        self.machine = Transducer(ranks, states)
+        self.words = Words(self.machine, words)
         self.split = regex.compile(pattern).findall
         self.split_latin = re.compile(latin_pattern(pattern)).findall
 
@@ -307,14 +307,14 @@ class StreamDecoder:
             return self.push(ids) + self.end()
 
 
-def machines(raw: bytes, pattern: str) -> tuple[Encoder, StreamDecoder, list[str]]:
-    """Compiled once a Python worker, kept until it serves another operator."""
+def compiled(raw: bytes, pattern: str, states: int = MAX_STATES, words: int = MAX_WORDS) -> tuple[Encoder, StreamDecoder, list[str]]:
+    e = Encoder(load_ranks(raw), pattern, states, words)
+    return e, StreamDecoder(e.machine.bytes_of), [str(k) for k in range(len(e.machine.bytes_of))]
 
-    def make() -> tuple[Encoder, StreamDecoder, list[str]]:
-        e = Encoder(load_ranks(raw), pattern)
-        return e, StreamDecoder(e.machine.bytes_of), [str(k) for k in range(len(e.machine.bytes_of))]
 
-    return kept((hashlib.sha256(raw).hexdigest(), pattern), make)
+def machines(raw: bytes, pattern: str, states: int = MAX_STATES, words: int = MAX_WORDS) -> tuple[Encoder, StreamDecoder, list[str]]:
+    """Compiled once a Python worker, kept until it serves another operator."""
+    return kept((hashlib.sha256(raw).hexdigest(), pattern, states, words), lambda: compiled(raw, pattern, states, words))
 
 
 def encode(docs: DataFrame, ranks: bytes, pattern: str, into: str = "ids") -> DataFrame:
@@ -345,13 +345,16 @@ def decode(rows: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", into:
     return rows.withColumn(into, run.asNondeterministic()(F.col(ids).cast("array<bigint>")))
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", with_ids: bool = False) -> DataFrame:
-    """Adds a struct (n_tokens, ids_sha256, decoded_sha256, and ids if asked for) of each whole text: encoded, then decoded again from the ids alone."""
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", with_ids: bool = False, keep: bool = True, states: int = MAX_STATES, words: int = MAX_WORDS) -> DataFrame:
+    """Adds a struct (n_tokens, ids_sha256, decoded_sha256, and ids if asked for) of each whole text: encoded, then decoded again from the ids alone.
+    keep: whether a Python worker keeps its tables (of at most so many states and words) from task to task; without it tasks cost more time, and workers that wait hold no memory."""
     held = docs.sparkSession.sparkContext.broadcast(ranks)
 
     @F.pandas_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        e, d, names = machines(held.value, pattern)
+        if not keep:
+            let_go()
+        e, d, names = (machines if keep else compiled)(held.value, pattern, states, words)
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for texts in batches:
             rows = []
@@ -363,5 +366,8 @@ def round_trip(docs: DataFrame, ranks: bytes, pattern: str, into: str = "bpe", w
             finally:
                 gc.enable()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
+        if not keep:
+            del e, d, names
+            trim()
 
     return docs.withColumn(into, run.asNondeterministic()(F.col("text").cast("string")))

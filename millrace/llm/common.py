@@ -65,6 +65,12 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return _kept[key]
 
 
+def release_heap(spark: SparkSession) -> None:
+    """Before a stage whose Python workers need memory: executors collect their garbage and give the free part of their heaps back, which JVM stages before have filled."""
+    n = 2 * spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).write.format("noop").mode("overwrite").save()
+
+
 _own: dict[str, str] = {}
 
 
@@ -152,14 +158,15 @@ def bounded(keys: DataFrame, weight: Column | None = None) -> DataFrame:
 HEAVY = 1000
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", heavy: int = HEAVY, many: bool = False) -> DataFrame:
+def spread_join(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", heavy: int = HEAVY, many: bool = False, by: DataFrame | None = None) -> DataFrame:
     """rows joined with values though single keys may hold a third of rows: the values of heavy keys are broadcast, the others meet by a shuffle.
 
     values has one row a key, so what is broadcast is HEAVY rows at most; with many=True it may have more, and a key whose values are over 1 / heavy of all of them isn't broadcast but
-    left to the shuffle. Both sides are read several times, so they should be staged or cheap.
+    left to the shuffle. Both sides are read several times, so they should be staged or cheap; by: a cheaper table with the keys of rows, to be counted instead.
     """
-    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col(key).isNotNull())
-    total = rows.count()
+    narrow = rows if by is None else by
+    counted = narrow.groupBy(key).agg(F.count(F.lit(1)).alias("_c")).where(F.col(key).isNotNull())
+    total = narrow.count()
     if total <= 10 * heavy:
         return rows.join(values, key, how)
     listed = counted.where(F.col("_c") > total / heavy).select(key)
