@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from millrace.llm import bpe_transducer, decontaminate, jaccard_join, secret_scan, zstd_quality
-from millrace.llm.common import bound_batches, bounded, held_out, read, stage, unstage
+from millrace.llm.common import bound_batches, bounded, held_out, read, release_heap, stage, unstage
 from millrace.llm.queries import tokenizer
 
 #: Near duplicates: words in a shingle, and the least similarity in percent.
@@ -35,6 +35,7 @@ def without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 10) rejects go."""
     bound_batches(spark)
+    release_heap(spark)
     labels = read(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
     scored = zstd_quality.score(docs, zstd_quality.fit(docs, labels), "_pipeline_quality")
     return scored.where(F.col("_pipeline_quality") >= 0.5).drop("_pipeline_quality")
@@ -74,10 +75,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text (operator 4), with their digest and that of the text decoded from them."""
+    """Token ids of each text (operator 4), with their digest and that of the text decoded from them. Workers keep no tables: other stages need the memory."""
     bound_batches(spark)
+    release_heap(spark)
     ranks, pattern = tokenizer()
-    return bpe_transducer.round_trip(docs.select("doc_id", "text"), ranks, pattern, "bpe", with_ids=True).select("doc_id", "bpe.*")
+    return bpe_transducer.round_trip(docs.select("doc_id", "text"), ranks, pattern, "bpe", with_ids=True, keep=False, states=30_000, words=60_000).select("doc_id", "bpe.*")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark", benchmark), ("secrets", secrets), ("tokens", tokens)]
