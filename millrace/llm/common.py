@@ -26,7 +26,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Before Python operators: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more, allocators that give memory back, and this package on the Python workers' path (on a cluster, ship it with --py-files)."""
+    """Before Python operators: Arrow batches of at most BATCH_ROWS rows and BATCH_BYTES bytes, where the session allows more, allocators that give memory back, and this package on the Python workers' path (on a cluster, ship it with --py-files). Plans are run after an operator has returned, so these settings stay with the session."""
     env, root = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [env.get("PYTHONPATH"), root]))
